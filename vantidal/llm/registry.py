@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from vantidal.llm import url_filters
+from vantidal.llm import bpe, media, url_filters
 
 QUERIES = {
+    "op5_bpe": bpe.op5_bpe,
+    "op8_media": media.op8_media,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
