@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vantidal.llm import bpe, media, url_filters
+from vantidal.llm import bpe, media, near_dedup, url_filters
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op8_media": media.op8_media,
     "op10_url_filters": url_filters.op10_url_filters,
