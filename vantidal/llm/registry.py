@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vantidal.llm import bpe, language_id, media, near_dedup, url_filters
+from vantidal.llm import bpe, language_id, media, near_dedup, quality, url_filters
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_quality": quality.op2_quality,
     "op5_bpe": bpe.op5_bpe,
     "op8_media": media.op8_media,
     "op9_language_id": language_id.op9_language_id,
