@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vantidal.llm import bpe, language_id, media, near_dedup, quality, url_filters
+from vantidal.llm import bpe, language_id, media, near_dedup, pii, quality, url_filters
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_quality": quality.op2_quality,
     "op5_bpe": bpe.op5_bpe,
+    "op7_pii": pii.op7_pii,
     "op8_media": media.op8_media,
     "op9_language_id": language_id.op9_language_id,
     "op10_url_filters": url_filters.op10_url_filters,
