@@ -11,11 +11,11 @@ Plan, in terms of distinct sets (copies meet by their set's hash and cost nothin
 
 1. bands of the sketch are buckets; each bucket gives pairs of its least document with the others (a star);
 2. pairs are verified on full sets, and verified links are joined to components;
-3. a bucket whose members still lie in several components is compared block by block on sketches; each
-   block gives a spanning forest of likely pairs, which is verified;
-4. what is then still apart is compared once more, and all pairs over the sketch's cut are verified.
+3. buckets whose members still lie in several components are compared block by block: sketches first, then
+   the full sets of those members that have a likely partner in another component, all pairs of a block at
+   once as a matrix product. A block gives back the links that join its components, no candidates.
 
-No step emits all pairs of a bucket, and no bucket is capped: the blocks of step 3 and 4 cover it whole.
+No step emits all pairs of a bucket, and no bucket is capped: the blocks of step 3 cover it whole.
 With 40 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability below 1e-8.
 """
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import Words, batches, documents, mix, word_hash
+from vantidal.llm.common import Words, as_bytes, batches, documents, mix, word_hash
 from vantidal.session import through_store
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -45,7 +45,7 @@ class Linking:
     rows: int = 6
     seed: int = 0x5EED
     cut: float = 0.72  #: agreement of sketches below which a pair can't reach 0.85 (5 deviations)
-    block: int = 2048  #: members of a bucket compared at once
+    block: int = 512  #: members of a bucket compared with as many others at once
     fan: int = 512  #: pairs of one document verified by one task at most
 
     @property
@@ -234,8 +234,27 @@ def verified(pairs: DataFrame, texts: DataFrame, p: Linking) -> DataFrame:
 # --- Buckets whose members lie in several components ---------------------------------------------
 
 
+def _groups(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """gid, id, comp: the groups within which documents of different components must be compared.
+
+    Such a group is a bucket; or all documents that such buckets connect, where comparing those once takes
+    fewer comparisons than comparing them in each of their buckets.
+    """
+    of = shared.join(comp, "id", "left").select("bucket", "a", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = of.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).filter("x < y")
+    of = through_store(of.join(mixed.select("bucket", "k"), "bucket"), "mixed")
+    joined = components(of.select("a", F.col("id").alias("b")).filter("a <> b")).withColumnRenamed("comp", "cluster")
+    of = of.join(joined, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    work = of.groupBy("cluster", "bucket").agg(F.first("k").alias("k")).groupBy("cluster").agg(F.sum(F.col("k") * F.col("k")).alias("buckets"))
+    size = of.select("cluster", "id").distinct().groupBy("cluster").agg(F.count("*").alias("c"))
+    whole = size.join(work, "cluster").select("cluster", (F.col("c") * F.col("c") <= F.col("buckets")).alias("whole"))
+    of = of.join(whole, "cluster")
+    gid = F.when(F.col("whole"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.xxhash64(F.lit("bucket"), "bucket"))
+    return through_store(of.select(gid.alias("gid"), "id", "comp").distinct(), "groups")
+
+
 def _block_keys(p: Linking) -> Column:
-    """The comparisons that a member takes part in. Members of a bucket's main component meet the blocks of all
+    """The comparisons that a member takes part in. Members of a group's main component meet the blocks of all
     others, never one another; the others meet block by block."""
     mains = F.ceil(F.col("main_n") / p.block).cast("int")
     blocks = F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("main_n")) / p.block).cast("int"))
@@ -249,73 +268,107 @@ def _block_keys(p: Linking) -> Column:
     return F.when(F.col("comp") == F.col("main"), to_blocks).otherwise(F.concat(to_mains, to_others))
 
 
-def _apart(shared: DataFrame, comp: DataFrame, sketches: DataFrame, p: Linking, forest: bool) -> DataFrame:
-    """Pairs of documents that share a bucket, lie in different components and have like sketches."""
-    of = shared.join(comp, "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
-    sizes = of.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("bucket").agg(
-        F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"), F.count("*").alias("comps")
-    )
-    mixed = mixed.filter("comps > 1").select(
-        "bucket", "size", F.col("top.comp").alias("main"), F.col("top.k").alias("main_n")
-    )
-    rows = of.join(mixed, "bucket").select("bucket", "id", "comp", F.explode(_block_keys(p)).alias("key"))
-    rows = rows.select("bucket", "key.i", "key.j", "id", "comp").join(sketches, "id")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
-    # Only the coordinates' low bytes are compared: unequal ones agree once in 256.
-    need = p.cut * p.size
+def _by_block(rows: DataFrame, columns: list[str], schema: str, each) -> DataFrame:
+    """Rows of one block (gid, i, j) together, handed to `each` as lists; it yields rows of the schema."""
+    rows = rows.select("gid", "i", "j", *columns).repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j", "id")
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, kinds = None, [], None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            out = each(key, [list(c) for c in zip(*held, strict=True)]) if len(held) > 1 else []
+            if out:
+                cols = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kinds[n]) for n, c in zip(names, cols, strict=True)], names)
+
+        for batch in it:
+            f = batch.schema
+            kinds = {"gid": pa.int64(), "i": pa.int32(), "j": pa.int32(), "a": f.field("id").type, "b": f.field("id").type}
+            kinds |= {c: f.field(c).type for c in ("id", "comp")}
+            values = [as_bytes(batch.column(c)) if c == "text" else batch.column(c).to_pylist() for c in columns]
+            keys = zip(*(batch.column(c).to_pylist() for c in ("gid", "i", "j")), strict=True)
+            for k, *row in zip(keys, *values, strict=True):
+                if k != key:
+                    yield from done()
+                    key, held = k, []
+                held.append(row)
+        yield from done()
 
-    def pairs(ids: list, comps: list, raw: list[bytes]) -> list[tuple]:
+    return rows.mapInArrow(run, schema)
+
+
+def _likely(groups: DataFrame, sketches: DataFrame, p: Linking) -> DataFrame:
+    """gid, i, j, id, comp of the members of a block that have a like sketch in another component there."""
+    sizes = groups.groupBy("gid", "comp").agg(F.count("*").alias("k"))
+    sizes = sizes.groupBy("gid").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"))
+    sizes = sizes.select("gid", "size", F.col("top.comp").alias("main"), F.col("top.k").alias("main_n"))
+    rows = groups.join(sizes, "gid").select("gid", "id", "comp", F.explode(_block_keys(p)).alias("key"))
+    rows = rows.select("gid", "key.i", "key.j", "id", "comp").join(sketches, "id")
+    need = p.cut * p.size  # only low bytes are compared: unequal coordinates agree once in 256
+
+    def each(key: tuple, columns: list[list]) -> list[tuple]:
+        ids, comps, raw = columns
         sk = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-        comp_ = np.unique(np.array(comps), return_inverse=True)[1]
-        found = []
+        comp = np.unique(np.array(comps), return_inverse=True)[1]
+        hit = np.zeros(len(sk), bool)
         for s in range(0, len(sk), 16):
             agree = (sk[s : s + 16, None, :] == sk[None, s:, :]).sum(axis=2, dtype=np.int32)
-            ok = (agree >= need) & (comp_[s : s + 16, None] != comp_[None, s:])
-            for x, y in zip(*np.nonzero(ok), strict=True):
-                if y > x:
-                    found.append((int(agree[x, y]), s + int(x), s + int(y)))
-        if forest:  # the likeliest pairs first, and none between what they already join
-            found.sort(key=lambda f: -f[0])
-            root = list(range(int(comp_.max()) + 1)) if len(comp_) else []
-
-            def top(c: int) -> int:
-                while root[c] != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-
-            kept = []
-            for f in found:
-                x, y = top(int(comp_[f[1]])), top(int(comp_[f[2]]))
-                if x != y:
-                    root[x] = y
-                    kept.append(f)
-            found = kept
-        return [tuple(sorted((ids[x], ids[y]))) for _, x, y in found if ids[x] != ids[y]]
+            ok = (agree >= need) & (comp[s : s + 16, None] != comp[None, s:])
+            hit[s : s + 16] |= ok.any(axis=1)
+            hit[s:] |= ok.any(axis=0)
+        return [(*key, ids[x], comps[x]) for x in np.flatnonzero(hit)]
+
+    kind = dict(groups.dtypes)["id"]
+    return _by_block(rows, ["id", "comp", "sketch"], f"gid bigint, i int, j int, id {kind}, comp {kind}", each)
+
+
+def shared_counts(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
+    """The intersection size of every two sets: products of membership matrices over the elements that any two share."""
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(counts > 1) - 1
+    keep = counts[at] > 1
+    own, at = own[keep], number[at[keep]]
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, chunk):
+        a, z = np.searchsorted(at, [lo, lo + chunk])
+        m = np.zeros((len(sets), chunk), np.float32)
+        m[own[a:z], at[a:z] - lo] = 1
+        out += m @ m.T  # whole numbers below 2**24: exact
+    return out
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [], [])
-        kind_ = None
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(held[0]) > 1 and (out := pairs(*held)):
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind_) for i in (0, 1)], ["a", "b"])
-
-        for batch in rows:
-            kind_ = batch.schema.field("id").type
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "id", "comp", "sketch")]
-            for b, i, j, x, c, s in zip(*cols, strict=True):
-                if (b, i, j) != key:
-                    yield from done()
-                    key, held = (b, i, j), ([], [], [])
-                held[0].append(x)
-                held[1].append(c)
-                held[2].append(s)
-        yield from done()
+def _links_apart(likely: DataFrame, texts: DataFrame, p: Linking) -> DataFrame:
+    """Verified links (a, b) between components: of each block as many as join what it can join."""
+
+    def each(key: tuple, columns: list[list]) -> list[tuple]:
+        ids, comps, raw = columns
+        sets = shingle_sets(raw, p.words)
+        comp = np.unique(np.array(comps), return_inverse=True)[1]
+        n = np.array([len(s) for s in sets], np.float64)
+        both = shared_counts(sets)
+        linked = (100 * both >= p.percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+        root = list(range(int(comp.max()) + 1))
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for x, y in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+            cx, cy = top(int(comp[x])), top(int(comp[y]))
+            if cx != cy and ids[x] != ids[y]:
+                root[cx] = cy
+                out.append(tuple(sorted((ids[x], ids[y]))))
+        return out
 
-    kind = dict(shared.dtypes)["id"]
-    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    kind = dict(likely.dtypes)["id"]
+    return _by_block(likely.join(texts, "id"), ["id", "comp", "text"], f"a {kind}, b {kind}", each)
 
 
 # --- The operator --------------------------------------------------------------------------------
@@ -350,19 +403,14 @@ def near_duplicates(docs: DataFrame, linking: Linking | None = None, id_col: str
     sketches = through_store(own.select("id", "sketch").join(members, "id", "left_semi"), "members")
     texts = through_store(docs.join(members, "id", "left_semi"), "texts")
 
-    star = shared.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
-    tried = through_store(star, "pairs")
-    links = through_store(verified(tried, texts, p).union(many), "links")
+    star = through_store(shared.filter("a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    links = through_store(verified(star, texts, p).union(many), "links")
     comp = components(links)
-    for forest in (True, False):
-        more = through_store(_apart(shared.drop("a"), comp, sketches, p, forest).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        found = through_store(verified(more, texts, p), "links")
-        tried = tried.union(more)
-        if not found.isEmpty():
-            links = links.union(found)
-            comp = components(links)
+    likely = through_store(_likely(_groups(shared, comp), sketches, p), "likely")
+    if not likely.isEmpty():
+        more = through_store(_links_apart(likely, texts, p), "links")
+        if not more.isEmpty():
+            comp = components(links.union(more))
     comp = comp.select(F.col("id").alias("rep"), "comp")
     out = of.join(comp, "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id")
