@@ -20,8 +20,8 @@ def safe_corr(a: Column, b: Column, w: WindowSpec | None = None) -> Column:
     """Pearson's correlation within [-1, 1]; null where either side is constant or has one value."""
     spread = _over(F.stddev_pop(a), w) * _over(F.stddev_pop(b), w)
     value = F.try_divide(_over(F.covar_pop(a, b), w), spread)
-    value = F.when((spread > 0) & (_over(F.count(a), w) > 1), value)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
+    within = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))  # these skip nulls, so null is kept apart
+    return F.when((spread > 0) & (_over(F.count(a), w) > 1) & value.isNotNull(), within)
 
 
 def ratio(a: Column, b: Column) -> Column:
