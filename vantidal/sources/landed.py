@@ -36,7 +36,8 @@ class Read:
 def grouped_json(spark: SparkSession, path: str, key: str, record: str) -> Read:
     """`{key: {SYMBOL: [records]}, next_page_token}` as rows (symbol, record), one file a page."""
     schema = f"`{key}` map<string,array<struct<{_colons(record)}>>>, next_page_token string, _corrupt string"
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    pages = spark.read.text(path, wholetext=True)  # a page is small: the vendor caps its rows
+    raw = pages.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("p")).select("p.*")
     good, bad = raw.filter("_corrupt IS NULL"), raw.filter("_corrupt IS NOT NULL").select("_corrupt")
     rows = good.select(F.explode(F.map_entries(key)).alias("e")).select(F.col("e.key").alias("symbol"), F.explode("e.value").alias("r"))
     return Read(rows.filter("r IS NOT NULL"), bad)
@@ -135,7 +136,7 @@ def filing_index(spark: SparkSession, path: str, columns: list[tuple[str, int, i
     """A daily filing index: form, company, cik, day, file; header lines have no number in the cik's place."""
     places = columns or [("form", 1, 12), ("company", 13, 62), ("cik", 75, 12), ("day", 87, 12), ("file", 99, 200)]
     rows = fixed_width(spark, path, places).filter(F.col("cik").rlike(r"^\d+$"))
-    return rows.withColumn("day", F.coalesce(F.try_to_date("day", F.lit("yyyyMMdd")) if hasattr(F, "try_to_date") else F.to_date("day", "yyyyMMdd")))
+    return rows.withColumn("day", F.try_to_timestamp(F.regexp_replace("day", "-", ""), F.lit("yyyyMMdd")).cast("date"))
 
 
 def feed(spark: SparkSession, path: str) -> DataFrame:
