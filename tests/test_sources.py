@@ -97,3 +97,50 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     got = {(r.series, r.t): (r.open, r.high, r.low, r.close, r.n) for r in spark.table(name).collect()}
     want = {(r.series, r.t): (r.open, r.high, r.low, r.close, r.n) for r in catalog.daily_bars(spark, sf).collect()}
     assert got == want and load(spark, sf, "events").count()
+
+
+def test_datasets(spark):
+    from vantidal.sources import datasets as ds
+
+    rows = [("A", "2026-01-31", "2026-02-03", "10", "Note"), ("A", "2026-01-31", "2026-02-20", "12", "note two"), ("A", "2026-02-28", "2026-03-03", "14", "x"), ("B", "2026-01-31", None, "9", None)]
+    df = spark.createDataFrame(rows, "id string, day string, known string, pct string, title string")
+    df = df.select("id", F.col("day").cast("date").alias("day"), F.col("known").cast("timestamp").alias("knowledge_time"), "pct", "title")
+    spec = ds.Dataset(("id", "day"), "day", (("day", "desc"), ("id", "asc")), ("pct",), search=("title",))
+    assert [(r.id, str(r.day), r.pct) for r in ds.read_dataset(df, spec).rows.collect()] == [("A", "2026-02-28", 0.14), ("A", "2026-01-31", 0.12), ("B", "2026-01-31", 0.09)]
+    assert [r.pct for r in ds.read_dataset(df, spec, as_of="2026-02-10").rows.collect()] == [0.10]
+    assert ds.read_dataset(df, spec, vintages="all", id="A", start="2026-01-01", end="2026-01-31").rows.count() == 2
+    got = ds.read_dataset(df, spec, q="NOTE", most=0)
+    assert got.rows.count() == 1 and got.truncated() and got.capped().count() == 0
+    order = ds.Dataset(("id", "day"), ranks={"title": ("x", "note two")})
+    assert [r.title for r in ds.read_dataset(df, order).rows.collect()] == ["x", "note two", None]
+    filings = spark.createDataFrame([("q", 1, "a1", "", 5), ("q", 2, "a2", "RESTATEMENT", 6), ("q", 3, "a3", "New Holdings", 7), ("q", 1, "a0", "NEW HOLDINGS", 8), ("p", 1, "b1", None, 9)], "period string, filed int, acc string, kind string, v int")
+    assert sorted(r.v for r in ds.standing_portfolio(filings, "period", "filed", "acc", "kind").collect()) == [6, 7, 9]
+    assert sorted(r.acc for r in ds.limit_groups(filings, "acc", F.col("filed"), 2).collect()) == ["a2", "a3"]
+    assert {r.acc for r in ds.newest_report(filings, ["period"], "filed", "acc").collect()} == {"a3", "b1"}
+    sec = spark.createDataFrame([("Note", "2-Year", False, 2.5, None), ("Note", "2-Year", True, 2.5, 1.0), ("Bill", "42-Day", False, 2.5, 1.0), ("Bill", "4-Week", False, None, None), ("Note", "2-Year", False, None, None)], "k string, t string, i boolean, b double, y double")
+    assert [r[0] for r in sec.select(ds.security_class(*(F.col(c) for c in "ktiby"))).collect()] == ["FRN", "TIPS", "CMB", "Bill", "Note"]
+    assert ds.growth(filings.select("period", F.lit("2026-01-31").cast("date").alias("d"), "v").limit(1), ["period"], "d", "v").first().growth is None
+    both = ds.merged_publications(filings.select("acc", "v").limit(2), filings.select("acc", F.lit(1).alias("w")), ["acc"])
+    assert both.count() == 5 and both.filter("v IS NOT NULL AND w IS NOT NULL").count() == 2
+
+
+def test_market_tables(spark):
+    from vantidal.operators import market
+
+    books = spark.createDataFrame([("X", 1, [(1.0, 2.0), (3.0, 1.0), (2.0, 0.0)], [(5.0, 1.0), (4.0, 2.0)])], "ticker string, t int, bids array<struct<p:double,s:double>>, asks array<struct<p:double,s:double>>")
+    assert [(r.side, r.level, r.price) for r in market.order_book(books).collect()] == [("bid", 0, 3.0), ("bid", 1, 1.0), ("ask", 0, 4.0), ("ask", 1, 5.0)]
+    snaps = spark.createDataFrame(
+        [("A", 11.0, "2026-03-02 15:00:00", 10.5, "2026-03-02 05:00:00", 10.0), ("B", 9.0, "2026-02-27 15:00:00", 9.5, "2026-03-02 05:00:00", 10.0), ("C", 5.0, None, None, None, 0.0), ("D", None, None, None, None, 1.0)],
+        "ticker string, last_price double, last_t string, day_close double, day_t string, prev_close double",
+    ).withColumns({c: F.col(c).cast("timestamp") for c in ("last_t", "day_t")})
+    out = market.change_columns(snaps)
+    assert {r.ticker: (r.change, r.change_basis) for r in out.collect()} == {"A": (1.0, "last_trade"), "B": (-0.5, "day_close"), "C": (5.0, "last_trade"), "D": (None, None)}
+    moved = market.movers(out.withColumn("price", F.col("last_price")), 5)
+    assert sorted((r.direction, r.rank, r.ticker) for r in moved.collect()) == [("gainer", 1, "A"), ("loser", 1, "B")]
+    ranking = spark.createDataFrame([("A", 10.0, 5), ("Z", 20.0, 1)], "ticker string, volume double, trade_count long")
+    assert [(r.ticker, r.rank, r.absent.get("price")) for r in sorted(market.most_active(ranking, out).collect(), key=lambda r: r.rank)] == [("Z", 1, "not_found"), ("A", 2, None)]
+    days = market.sessions(spark.createDataFrame([("2026-03-06", "09:30", "16:00"), ("2026-03-09", "0930", "1600")], "date string, open string, close string"))
+    assert [str(r.open) for r in days.collect()] == ["2026-03-06 14:30:00", "2026-03-09 13:30:00"]
+    now = market.clock(days, "2026-03-07 00:00:00").first()
+    assert not now.is_open and str(now.next_open) == "2026-03-09 13:30:00" and str(now.next_close) == "2026-03-09 20:00:00"
+    assert market.codes(spark.createDataFrame([({"V": "IEX"},)], "m map<string,string>"), "m").first() == ("V", "IEX")
