@@ -43,6 +43,24 @@ def test_bpe_equals_the_library(spark, library):
         assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_long_texts_are_cut_without_a_trace(monkeypatch, library):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab  \n\t'sé　1!") for _ in range(300)) + "<|endoftext|> x" for _ in range(200)]
+    monkeypatch.setattr(bpe, "LONG", 20)
+    got = bpe.codec(bpe.read_spec(bpe.default_tokenizer())).encode(texts)
+    assert got == [",".join(map(str, library.encode(t, add_special_tokens=False).ids)) for t in texts]
+
+
+def test_word_runs(monkeypatch):
+    from vantidal.llm import common
+
+    monkeypatch.setattr(common, "RUN_BYTES", 10)
+    text = b"one two\tthree " * 20 + b"x" * 50 + b" end"
+    assert b"".join(common.runs(text)) == text and [w for r in common.runs(text) for w in r.split()] == text.split()
+    h, n = common.word_values([text, None, b""], common.Words(common.word_hash), lower=True)
+    assert n.tolist() == [len(text.split()), 0, 0] and h.tolist() == [common.word_hash(w) for w in text.lower().split()]
+
+
 def test_bpe_operators_round_trip(spark):
     df = spark.createDataFrame(rows_of(ODD), "doc_id long, text string")
     enc = bpe.encode_documents(df, bpe.default_tokenizer())

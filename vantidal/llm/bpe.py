@@ -44,6 +44,23 @@ LATIN_PIECES = (
 KNOWN_PIECES = 600_000
 
 
+#: Characters of a text that are cut into pieces at once.
+LONG = 4 << 20
+_ENDS = re.compile(r"(?<=[^\s\x85\u180e])[ \n]")
+
+
+def parts(text: str) -> Iterator[str]:
+    """A text in parts that end before a blank after something else: no piece and no special token crosses that."""
+    at = 0
+    while len(text) - at > LONG:
+        m = _ENDS.search(text, at + LONG)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 def byte_letters() -> dict[str, int]:
     """The printable stand-in of each byte in byte-level vocabularies: printable ones stand for themselves."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -179,7 +196,12 @@ class Codec:
             known[p] = ",".join(map(str, ids))
 
     def encode(self, texts: list[str]) -> list[str]:
-        """The ids of each text, in decimals joined by commas."""
+        """The ids of each text, in decimals joined by commas. Very long texts are cut where pieces end for certain."""
+        if any(len(t) > LONG for t in texts):
+            return [",".join(x for part in parts(t) for x in self._encode([part]) if x) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[str]:
         cut = [self.pieces(t) for t in texts]
         if len(self.known) > KNOWN_PIECES:
             self.known.clear()

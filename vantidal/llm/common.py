@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -67,6 +68,43 @@ class Words(dict):
         return v
 
 
+#: A longer text is split into words by runs of about this many bytes.
+RUN_BYTES = 4 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def runs(text: bytes) -> Iterator[bytes]:
+    """A text in runs that end at blanks, so that a very long one is never split into words as a whole."""
+    at = 0
+    while len(text) - at > RUN_BYTES:
+        m = _BLANK.search(text, at + RUN_BYTES)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+def word_values(texts: list[bytes | None], values: Words, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each word (bytes between ASCII blanks) of all texts, and the number of words of each text."""
+    parts: list[np.ndarray] = []
+    found: list[bytes] = []
+    counts = []
+    get = values.__getitem__
+    for t in texts:
+        n = 0
+        for run in runs(t) if t else ():
+            w = (run.lower() if lower else run).split()
+            found += w
+            n += len(w)
+            if len(found) > 1 << 20:
+                parts.append(np.fromiter(map(get, found), np.uint64, len(found)))
+                found = []
+        counts.append(n)
+    parts.append(np.fromiter(map(get, found), np.uint64, len(found)))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0], np.array(counts, np.int64)
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import Words, batches, documents, word_hash
+from vantidal.llm.common import Words, batches, documents, runs, word_hash
 from vantidal.session import through_store
 
 
@@ -86,9 +86,11 @@ class Reader:
             self.words.clear()
             del self.found[1:]
         for i, t in enumerate(texts):
-            w = t.split() if t else ()
-            counts[i] = len(w)
-            hits = set(map(self.words.__getitem__, w))
+            hits: set[int] = set()
+            for run in runs(t) if t else ():
+                w = run.split()
+                counts[i] += len(w)
+                hits.update(map(self.words.__getitem__, w))
             cells = sorted({c for h in hits for c in self.found[h]})
             if cells:
                 logits[i] = d.weights[cells].sum(axis=0)
@@ -160,7 +162,7 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, p: Mix, id_col: str = "d
         for batch, texts in batches(rows):
             cells = []
             for t in texts:
-                own = {c for w in set((t or b"").split()) for c in word_cells(w, p.cells)}
+                own = {c for run in runs(t or b"") for w in set(run.split()) for c in word_cells(w, p.cells)}
                 cells.append(np.array(sorted(own), np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("domain"), pa.array(cells, pa.binary())], ["id", "domain", "cells"]

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import Words, batches, documents, is_held_out, mix, word_hash
+from vantidal.llm.common import Words, batches, documents, is_held_out, mix, word_hash, word_values
 
 
 @dataclass(frozen=True)
@@ -62,16 +62,10 @@ _units = Words(unit_pair)
 
 def unit_cells(texts: list[bytes | None], cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Core cells and shape cells of all words, and the number of words of each text."""
-    found: list[bytes] = []
-    counts = []
-    for t in texts:
-        w = t.split() if t else ()
-        found += w
-        counts.append(len(w))
-    h = np.fromiter(map(_units.__getitem__, found), np.uint64, len(found))
+    h, counts = word_values(texts, _units)
     core = ((h >> np.uint64(32)) % np.uint64(cells // 2)).astype(np.int64)
     shape = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(cells // 2)).astype(np.int64) + cells // 2
-    return core, shape, np.array(counts, np.int64)
+    return core, shape, counts
 
 
 def index_vectors(m: Model) -> tuple[np.ndarray, np.ndarray]:
