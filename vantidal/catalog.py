@@ -64,7 +64,7 @@ query("resample_daily_bars", BARS_SQL)(daily_bars)
 @query(
     "resample_weekly_bars",
     f"""WITH d AS ({BARS_SQL}) SELECT series, date_trunc('week', t) AS t, arg_min(open, t) AS open, max(high) AS high, min(low) AS low,
-  arg_max(close, t) AS close, round(sum(volume), 4) AS volume, sum(n) AS trade_count,
+  arg_max(close, t) AS close, round(sum(volume), 4) AS volume, sum(n)::BIGINT AS trade_count,
   round(sum((high + low) / 2 * volume) / sum(volume), 6) AS vwap, count(*) AS bars FROM d GROUP BY series, date_trunc('week', t)""",
 )
 def resample_weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,7 +417,7 @@ def _grouping(how: str) -> Query:
 for _how in ("rollup", "cube"):
     query(
         f"group_{_how}",
-        f"SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus) * 2 + grouping(o_orderpriority) AS level, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY {_how.upper()} (o_orderstatus, o_orderpriority)",
+        f"SELECT o_orderstatus, o_orderpriority, (grouping(o_orderstatus) * 2 + grouping(o_orderpriority))::BIGINT AS level, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY {_how.upper()} (o_orderstatus, o_orderpriority)",
     )(_grouping(_how))
 
 
@@ -482,8 +482,8 @@ def window_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
     w, d = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id").orderBy("event_type")
     return e.select(
-        "event_id", F.row_number().over(w).alias("rn"), F.rank().over(d).alias("rk"), F.dense_rank().over(d).alias("dr"), F.round(F.percent_rank().over(d), 8).alias("pr"),
-        F.round(F.cume_dist().over(d), 8).alias("cd"), F.ntile(4).over(w).alias("q"), F.lag("value").over(w).alias("before"), F.lead("value", 2).over(w).alias("after2"),
+        "event_id", F.row_number().over(w).cast("long").alias("rn"), F.rank().over(d).cast("long").alias("rk"), F.dense_rank().over(d).cast("long").alias("dr"), F.round(F.percent_rank().over(d), 8).alias("pr"),
+        F.round(F.cume_dist().over(d), 8).alias("cd"), F.ntile(4).over(w).cast("long").alias("q"), F.lag("value").over(w).alias("before"), F.lead("value", 2).over(w).alias("after2"),
         F.first("value").over(w).alias("first"), F.nth_value("value", 2).over(w).alias("second"), F.round(F.avg("value").over(w.rowsBetween(-2, 1)), 8).alias("near"),
     )
 
@@ -491,7 +491,7 @@ def window_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top_per_key", "SELECT user_id, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS rank FROM events) WHERE rank <= 3")
 def top_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "events")
-    return top_per_key(e, ["user_id"], 3, F.col("value").desc_nulls_last(), F.col("event_id")).select("user_id", "event_id", "rank")
+    return top_per_key(e, ["user_id"], 3, F.col("value").desc_nulls_last(), F.col("event_id")).select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("latest_row", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
@@ -550,8 +550,8 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", F.upper(p).alias("u"), F.substring(p, 1, 3).alias("p3"), F.replace(p, F.lit("-"), F.lit("_")).alias("rep"), F.get(F.split(p, "-"), F.lit(0)).alias("first"),
         F.regexp_extract(p, "([A-Z]+)", 1).alias("word"), F.lpad("o_orderstatus", 3, "*").alias("pad"), p.ilike("%urgent%").alias("urgent"),
         F.coalesce(F.nullif(F.col("o_orderstatus"), F.lit("F")), F.lit("done")).alias("st"), F.greatest(F.col("o_custkey"), F.lit(100)).alias("g"), F.round(F.log("o_totalprice"), 8).alias("l"),
-        F.floor(F.col("o_totalprice") / 1000).cast("double").alias("k"), F.year("o_orderdate").alias("y"), F.date_trunc("month", "o_orderdate").alias("m"),
-        F.datediff(F.lit("2002-01-01").cast("date"), F.col("o_orderdate")).alias("days"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), p.try_cast("int").alias("no"),
+        F.floor(F.col("o_totalprice") / 1000).cast("double").alias("k"), F.year("o_orderdate").cast("long").alias("y"), F.date_trunc("month", "o_orderdate").alias("m"),
+        F.datediff(F.lit("2002-01-01").cast("date"), F.col("o_orderdate")).cast("long").alias("days"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), p.try_cast("int").alias("no"),
     )
 
 
@@ -563,7 +563,7 @@ FROM (SELECT user_id, list(event_type) AS l FROM events GROUP BY user_id)""",
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = load(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("l"))
     return g.select(
-        "user_id", F.size("l").alias("n"), F.array_contains("l", "click").alias("clicked"), F.size(F.filter("l", lambda x: x == "view")).alias("views"),
+        "user_id", F.size("l").cast("long").alias("n"), F.array_contains("l", "click").alias("clicked"), F.size(F.filter("l", lambda x: x == "view")).cast("long").alias("views"),
         F.array_sort(F.array_distinct("l")).alias("kinds"),
     )
 

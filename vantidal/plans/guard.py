@@ -7,6 +7,8 @@ relation is allowed. Plan classes are on an allow-list: a kind of statement that
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import ParseException
@@ -181,6 +183,29 @@ def run(spark: SparkSession, sql: str, results: dict[str, DataFrame], most: int
         raise Refusal("sql_error", first_line(str(e)), hint(str(e), sql)) from None
 
 
+def rows_within(df: DataFrame, seconds: float) -> list:
+    """The rows, or a refusal once the time is over; the query's jobs are then cancelled on the cluster."""
+    spark, tag = df.sparkSession, f"query-{uuid.uuid4().hex}"
+    over = threading.Event()
+
+    def stop() -> None:
+        over.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    spark.addTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if over.is_set():
+            raise Refusal("sql_timeout", f"The query took more than {seconds:g} seconds.", "Read less, or aggregate.") from None
+        raise Refusal("sql_error", first_line(str(e)), hint(str(e), "")) from None
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
+
+
 def _move(df: DataFrame, session: SparkSession) -> DataFrame:
     """The same plan in another session of the same application."""
     return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.logicalPlan()), session)
