@@ -156,11 +156,11 @@ def top_k(rows: DataFrame, queries: DataFrame, search_: Search | None = None) ->
         if len(some) < p.queries:
             break
     if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, id bigint, distance bigint")
+        return spark.createDataFrame([], "query_id bigint, rank bigint, id bigint, distance bigint")
     w = Window.partitionBy("query_id", "query_code").orderBy("distance", "id")
     return (
         found.dropDuplicates().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= p.k)
-        .select("query_id", "rank", "id", "distance")
+        .select("query_id", F.col("rank").cast("long").alias("rank"), "id", "distance")
     )
 
 
