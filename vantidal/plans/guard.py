@@ -185,16 +185,17 @@ def run(spark: SparkSession, sql: str, results: dict[str, DataFrame], most: int
 
 def rows_within(df: DataFrame, seconds: float) -> list:
     """The rows, or a refusal once the time is over; the query's jobs are then cancelled on the cluster."""
-    spark, tag = df.sparkSession, f"query-{uuid.uuid4().hex}"
-    over = threading.Event()
+    context, tag = df.sparkSession.sparkContext, f"query-{uuid.uuid4().hex}"
+    over, done = threading.Event(), threading.Event()
 
-    def stop() -> None:
-        over.set()
-        spark.interruptTag(tag)
+    def watch() -> None:
+        if not done.wait(seconds):
+            over.set()
+            while not done.wait(0.2):  # jobs that start later are cancelled too
+                context.cancelJobsWithTag(tag)
 
-    timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
-    timer.start()
+    context.addJobTag(tag)
+    threading.Thread(target=watch, daemon=True).start()
     try:
         return df.collect()
     except Exception as e:
@@ -202,8 +203,8 @@ def rows_within(df: DataFrame, seconds: float) -> list:
             raise Refusal("sql_timeout", f"The query took more than {seconds:g} seconds.", "Read less, or aggregate.") from None
         raise Refusal("sql_error", first_line(str(e)), hint(str(e), "")) from None
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        done.set()
+        context.removeJobTag(tag)
 
 
 def _move(df: DataFrame, session: SparkSession) -> DataFrame:
