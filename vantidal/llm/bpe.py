@@ -41,7 +41,7 @@ LATIN_PIECES = (
 )
 
 #: Distinct pieces that a worker remembers; beyond this it starts anew.
-KNOWN_PIECES = 600_000
+KNOWN_PIECES = 250_000
 
 
 #: Characters of a text that are cut into pieces at once.

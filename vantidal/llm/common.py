@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,20 +46,30 @@ def slices(sizes: Iterable[int], most: int = SLICE_BYTES) -> Iterator[slice]:
 
 
 def batches(rows: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Arrow batches cut into bounded slices, each with its texts as bytes."""
+    """Arrow batches cut into bounded slices, each with its texts as bytes. After the last the word memories are emptied,
+    so a worker that is used again doesn't hold those of several operators."""
     for batch in rows:
         if not batch.num_rows:
             continue
-        texts = as_bytes(batch.column(text))
-        for s in slices(len(t) if t else 0 for t in texts):
-            yield batch.slice(s.start, s.stop - s.start), texts[s]
+        column = batch.column(text)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+        for s in slices(sizes):
+            yield batch.slice(s.start, s.stop - s.start), as_bytes(column.slice(s.start, s.stop - s.start))
+    for words in _MEMORIES:
+        words.clear()
+
+
+_MEMORIES: weakref.WeakSet = weakref.WeakSet()
 
 
 class Words(dict):
     """From a word to a value computed once; forgets everything beyond `most` words, so memory is bounded."""
 
-    def __init__(self, value: Callable[[bytes], int], most: int = 500_000):
+    __hash__ = object.__hash__
+
+    def __init__(self, value: Callable[[bytes], int], most: int = 200_000):
         self.value, self.most = value, most
+        _MEMORIES.add(self)
 
     def __missing__(self, word: bytes) -> int:
         v = self.value(word)

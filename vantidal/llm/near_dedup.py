@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import Words, as_bytes, batches, documents, mix, word_hash
-from vantidal.session import through_store
+from vantidal.llm.common import Words, as_bytes, batches, documents, mix, word_hash, word_values
+from vantidal.session import forget, through_store
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -68,20 +68,14 @@ def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
 
     A text of fewer words has its whole sequence as one shingle; without words the set is empty.
     """
-    found: list[bytes] = []
-    counts = []
-    for t in texts:
-        w = t.lower().split() if t else ()  # bytes: only ASCII letters and blanks count
-        found += w
-        counts.append(len(w))
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    h, counts = word_values(texts, _words, lower=True)  # of bytes only ASCII letters and blanks count
     m = np.uint64(0x9E3779B97F4A7C15)
     rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for k in range(words):
         rolled = rolled * m + h[k : k + len(rolled)]
     rolled = mix(rolled)
     out, at = [], 0
-    for n in counts:
+    for n in counts.tolist():
         if n >= words:
             out.append(np.unique(rolled[at : at + n - words + 1]))
         elif n:
@@ -180,12 +174,15 @@ def components(links: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = through_store(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, edges = edges, through_store(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(old)
         now = mark(edges)
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+    out._stored_at = edges._stored_at
+    return out
 
 
 # --- Verification ------------------------------------------------------------------------------
@@ -244,11 +241,13 @@ def _groups(shared: DataFrame, comp: DataFrame) -> DataFrame:
     mixed = of.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).filter("x < y")
     of = through_store(of.join(mixed.select("bucket", "k"), "bucket"), "mixed")
     joined = components(of.select("a", F.col("id").alias("b")).filter("a <> b")).withColumnRenamed("comp", "cluster")
-    of = of.join(joined, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-    work = of.groupBy("cluster", "bucket").agg(F.first("k").alias("k")).groupBy("cluster").agg(F.sum(F.col("k") * F.col("k")).alias("buckets"))
-    size = of.select("cluster", "id").distinct().groupBy("cluster").agg(F.count("*").alias("c"))
+    ids = of.select("id").distinct().join(joined, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    ids = through_store(ids, "clusters")
+    heads = of.join(ids, "id").groupBy("bucket").agg(F.first("cluster").alias("cluster"), F.first("k").alias("k"))
+    work = heads.groupBy("cluster").agg(F.sum(F.col("k") * F.col("k")).alias("buckets"))
+    size = ids.groupBy("cluster").agg(F.count("*").alias("c"))
     whole = size.join(work, "cluster").select("cluster", (F.col("c") * F.col("c") <= F.col("buckets")).alias("whole"))
-    of = of.join(whole, "cluster")
+    of = of.join(ids.join(whole, "cluster"), "id")  # a cluster's documents, not its buckets' rows, meet its key
     gid = F.when(F.col("whole"), F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.xxhash64(F.lit("bucket"), "bucket"))
     return through_store(of.select(gid.alias("gid"), "id", "comp").distinct(), "groups")
 
@@ -405,12 +404,18 @@ def near_duplicates(docs: DataFrame, linking: Linking | None = None, id_col: str
 
     star = through_store(shared.filter("a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
     links = through_store(verified(star, texts, p).union(many), "links")
+    forget(sk, star)
     comp = components(links)
-    likely = through_store(_likely(_groups(shared, comp), sketches, p), "likely")
+    groups = _groups(shared, comp)
+    likely = through_store(_likely(groups, sketches, p), "likely")
+    forget(groups, shared, sketches)
     if not likely.isEmpty():
         more = through_store(_links_apart(likely, texts, p), "links")
         if not more.isEmpty():
-            comp = components(links.union(more))
+            first, comp = comp, components(links.union(more))
+            forget(first)
+        forget(more)
+    forget(likely, texts, links)
     comp = comp.select(F.col("id").alias("rep"), "comp")
     out = of.join(comp, "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id")
