@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from vantidal.llm import bpe, mixing, near_dedup, pii, quality
 from vantidal.session import through_store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near-duplicates of the pipeline: five words, similarity of 0.8 or more (0.85 is the rule of op1 alone). A pair at 0.8
+#: shares no bucket with a probability of 5e-6; the sketch's cut is 5 deviations below 0.8.
+LINKING = near_dedup.Linking(percent=80, cut=0.66)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +31,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return out.filter(F.col("__score") >= m.threshold).select(*COLUMNS)
 
 
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each component. Of rows that repeat an id one stays; null ids all stay."""
-    found = through_store(near_dedup.near_duplicates(docs), "components")
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, linking: near_dedup.Linking | None = None) -> DataFrame:
+    """Keeps the document of least id of each component. Of rows that repeat an id one stays; null ids all stay.
+
+    STAGES runs it with LINKING; without one it links as op1 does.
+    """
+    found = through_store(near_dedup.near_duplicates(docs, linking), "components")
     left = docs.select(*COLUMNS).join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti")
     again = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if again.isEmpty():
@@ -59,7 +67,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", quality_stage),
-    ("near_dedup", near_dedup_stage),
+    ("near_dedup", partial(near_dedup_stage, linking=LINKING)),
     ("pii", pii_stage),
     ("mixing", mixing_stage),
     ("bpe", bpe_stage),
