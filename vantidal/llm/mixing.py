@@ -28,8 +28,8 @@ class Mix:
 
     cells: int = 1 << 18  #: hashed words
     sample: int = 10_000  #: labelled rows that the classifier is fitted on, at most (those of the least hash)
-    telling: int = 1024  #: cells that count, at most
-    deviations: float = 6.0  #: by which a cell's share in a domain differs from its share in the rest
+    telling: int = 1024  #: cells that count, at most: those whose shares in and outside a domain differ by most deviations
+    beginnings: tuple[int, ...] = (3, 4, 5, 6, 7, 8)  #: characters of a word's beginnings
     decay: float = 1e-4
     seed: int = 11
     steps: int = 60
@@ -42,10 +42,10 @@ class Mix:
 _SIGNS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
-def word_cells(word: bytes, cells: int) -> tuple[int, ...]:
-    """The cells of a word without signs, in lower case: of the whole and of its beginnings."""
-    w = word.strip(_SIGNS).lower()
-    return tuple({word_hash(w[:n]) % cells for n in (6, 7, 64)}) if w else ()
+def word_cells(word: bytes, cells: int, beginnings: tuple[int, ...] = Mix.beginnings) -> tuple[int, ...]:
+    """The cells of a word without signs, in lower case: of the whole and of its beginnings (in characters)."""
+    w = word.strip(_SIGNS).decode("utf-8", "replace").lower()
+    return tuple({word_hash(x.encode()) % cells for x in {w[:64], *(w[:n] for n in beginnings)}}) if w else ()
 
 
 @dataclass
@@ -58,21 +58,21 @@ class Domains:
     bias: np.ndarray
     temperature: float
 
-    def reader(self, cells: int) -> Reader:
-        return Reader(self, cells)
+    def reader(self, p: Mix) -> Reader:
+        return Reader(self, p)
 
 
 class Reader:
     """Posteriors of texts. A word's telling cells are looked up once a worker; most words have none."""
 
-    def __init__(self, domains: Domains, cells: int):
-        self.domains, self.cells = domains, cells
+    def __init__(self, domains: Domains, p: Mix):
+        self.domains, self.p = domains, p
         self.at = {int(c): i for i, c in enumerate(domains.telling)}
         self.found: list[tuple[int, ...]] = [()]
         self.words = Words(self._look)
 
     def _look(self, word: bytes) -> int:
-        hit = tuple(self.at[c] for c in word_cells(word, self.cells) if c in self.at)
+        hit = tuple(self.at[c] for c in word_cells(word, self.p.cells, self.p.beginnings) if c in self.at)
         if not hit:
             return 0
         self.found.append(hit)
@@ -100,7 +100,11 @@ class Reader:
 
 
 def fit_domains(cells_of: list[np.ndarray], y: np.ndarray, names: list[str], p: Mix) -> Domains:
-    """Cells that tell domains apart beyond chance, their weights from four fifths of the rows, the temperature from the rest."""
+    """Weights of the best cells from four fifths of the rows; the rest gives the temperature and says how many cells count.
+
+    No cell must pass a bar: small and rare domains and languages have none that would. Of p.telling cells, half as
+    many and so on, the number counts whose loss on the held-back rows is least.
+    """
     k = len(names)
     order = np.random.default_rng(p.seed).permutation(len(y))
     back, fitted = order[: len(y) // 5], order[len(y) // 5 :]
@@ -115,32 +119,40 @@ def fit_domains(cells_of: list[np.ndarray], y: np.ndarray, names: list[str], p:
     share, rest = have / n[:, None], (have.sum(0) - have) / np.maximum(total - n, 1)[:, None]
     base = (have.sum(0) + 1) / (total + 2)
     z = np.abs(share - rest) / np.sqrt(base * (1 - base) * (1 / n + 1 / np.maximum(total - n, 1))[:, None])
-    best = z.max(axis=0)
-    telling = np.sort(np.argsort(-best, kind="stable")[: p.telling])
-    telling = telling[best[telling] > p.deviations]
+    ranked = np.argsort(-z.max(axis=0), kind="stable")[: p.telling]
+    column = np.full(p.cells, -1)
+    column[ranked] = np.arange(len(ranked))
 
     def matrix(rows: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(rows), len(telling) + 1), np.float32)
-        x[:, -1] = 1
+        x = np.zeros((len(rows), len(ranked)), np.float32)
         for j, i in enumerate(rows):
-            x[j, np.flatnonzero(np.isin(telling, cells_of[i]))] = 1
+            at = column[cells_of[i]]
+            x[j, at[at >= 0]] = 1
         return x
 
-    x, target = matrix(fitted), np.eye(k)[y[fitted]]
-    w = np.zeros((x.shape[1], k))
-    v = np.zeros_like(w)
-    step = 4.0 / max(1.0, float((x.sum(axis=1) ** 1).max()))
-    for i in range(400):  # accelerated gradient on the log loss with weight decay
-        at = w + i / (i + 3) * (w - v)
-        e = x @ at
-        e = np.exp(e - e.max(axis=1, keepdims=True))
-        grad = x.T @ (e / e.sum(axis=1, keepdims=True) - target) / len(x)
-        grad[:-1] += p.decay * at[:-1]
-        v, w = w, at - step * grad
-    out = Domains(names, telling, w[:-1], w[-1], 1.0)
-    if len(back) >= 10:
-        raw = matrix(back) @ w
-        grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
+    def ones(x: np.ndarray) -> np.ndarray:
+        return np.hstack([x, np.ones((len(x), 1))])  # doubles, converted once
+
+    x_all, x_back, target = matrix(fitted), matrix(back), np.eye(k)[y[fitted]]
+    grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
+
+    def fit(count: int) -> tuple[float, Domains]:
+        x = ones(x_all[:, :count])
+        w = np.zeros((x.shape[1], k))
+        v = np.zeros_like(w)
+        step = 4.0 / max(1.0, float(x.sum(axis=1).max()))
+        for i in range(400):  # accelerated gradient on the log loss with weight decay
+            at = w + i / (i + 3) * (w - v)
+            e = x @ at
+            e = np.exp(e - e.max(axis=1, keepdims=True))
+            grad = x.T @ (e / e.sum(axis=1, keepdims=True) - target) / len(x)
+            grad[:-1] += p.decay * at[:-1]
+            v, w = w, at - step * grad
+        places = np.argsort(ranked[:count], kind="stable")
+        out = Domains(names, ranked[:count][places], w[:-1][places], w[-1], 1.0)
+        if len(back) < 10:
+            return 0.0, out
+        raw = ones(x_back[:, :count]) @ w
 
         def loss(t: float) -> float:
             q = raw / t
@@ -148,7 +160,11 @@ def fit_domains(cells_of: list[np.ndarray], y: np.ndarray, names: list[str], p:
             return float(np.mean(np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(back)), y[back]]))
 
         out.temperature = float(min(grid, key=loss))
-    return out
+        return loss(out.temperature), out
+
+    # The larger of equals; without held-back rows all cells count.
+    counts = [c for c in (p.telling >> s for s in range(5)) if c] if len(back) >= 10 else [p.telling]
+    return min((fit(c) for c in counts), key=lambda f: f[0])[1]
 
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, p: Mix, id_col: str = "doc_id", text_col: str = "text") -> Domains:
@@ -162,7 +178,7 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, p: Mix, id_col: str = "d
         for batch, texts in batches(rows):
             cells = []
             for t in texts:
-                own = {c for run in runs(t or b"") for w in set(run.split()) for c in word_cells(w, p.cells)}
+                own = {c for run in runs(t or b"") for w in set(run.split()) for c in word_cells(w, p.cells, p.beginnings)}
                 cells.append(np.array(sorted(own), np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("domain"), pa.array(cells, pa.binary())], ["id", "domain", "cells"]
@@ -266,7 +282,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], p: Mix
     )
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = sent.value.reader(p.cells)
+        reader = sent.value.reader(p)
         for batch, texts in batches(rows):
             post, counts = reader.posteriors(texts)
             packed = pa.array([r.tobytes() for r in np.round(post, 5).astype(np.float32)], pa.binary())
