@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest as xxh3
 
-from vantidal.llm.common import Words, batches, documents, runs, word_hash
+from vantidal.llm.common import Words, batches, documents, runs
 from vantidal.session import through_store
 
 
@@ -44,8 +45,16 @@ _SIGNS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 def word_cells(word: bytes, cells: int, beginnings: tuple[int, ...] = Mix.beginnings) -> tuple[int, ...]:
     """The cells of a word without signs, in lower case: of the whole and of its beginnings (in characters)."""
-    w = word.strip(_SIGNS).decode("utf-8", "replace").lower()
-    return tuple({word_hash(x.encode()) % cells for x in {w[:64], *(w[:n] for n in beginnings)}}) if w else ()
+    w = word.strip(_SIGNS)
+    if w.isascii():  # characters are bytes
+        w = w.lower()
+        size = len(w)
+        if not size:
+            return ()
+        return (xxh3(w[:64]) % cells, *[xxh3(w[:n]) % cells for n in beginnings if n < size])
+    w = w.decode("utf-8", "replace").lower()
+    size = len(w)
+    return (xxh3(w[:64].encode()) % cells, *[xxh3(w[:n].encode()) % cells for n in beginnings if n < size])
 
 
 @dataclass
@@ -72,7 +81,8 @@ class Reader:
         self.words = Words(self._look)
 
     def _look(self, word: bytes) -> int:
-        hit = tuple(self.at[c] for c in word_cells(word, self.p.cells, self.p.beginnings) if c in self.at)
+        at = self.at
+        hit = tuple([at[c] for c in word_cells(word, self.p.cells, self.p.beginnings) if c in at])
         if not hit:
             return 0
         self.found.append(hit)
