@@ -324,9 +324,9 @@ def replace_entities(
         picked = picked.withColumn("again", empty)
     else:  # few entities: what a document's own ones are is gathered by document
         own = found.join(again, ["kind", "norm"]).groupBy("id").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("again"))
-        own = through_store(own.withColumnRenamed("id", "c0"), "redrawn")
+        own = through_store(own, "redrawn")
         small = own.limit(SMALL + 1).count() <= SMALL
-        picked = picked.join(F.broadcast(own) if small else own, "c0", "left")
+        picked = picked.join(F.broadcast(own) if small else own, F.col("c0").eqNullSafe(F.col("id")), "left")  # null ids too
     picked = picked.select(*(f"c{i}" for i in range(len(names))), "text", "again")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
