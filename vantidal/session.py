@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantidal.errors import Refusal
+
 #: What every session of this engine relies on. Sizes are left to the cluster.
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,10 +36,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a local folder is used.
+    Only where the setting is absent and everything runs on one machine (tests) a local folder is used; a cluster
+    without the setting is refused.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise Refusal("invalid_arguments", "No folder is shared by the driver and the executors.", "Set spark.checkpoint.dir.")
         import tempfile
 
         set_to = tempfile.mkdtemp(prefix="vantidal-shared-")
@@ -45,12 +51,27 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends."""
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+
+
 def through_store(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write a frame to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The files go when `forget` is called, or when the application ends.
+    """
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -58,10 +79,12 @@ def through_store(df: DataFrame, label: str) -> DataFrame:
 
 
 def forget(*frames: DataFrame) -> None:
-    """Delete the files of frames from `through_store` that nothing will read again."""
+    """Delete the files of frames from `through_store` that nothing will read again, and of those they were made from
+    (`_reads`)."""
     for df in frames:
+        forget(*getattr(df, "_reads", ()))
         if path := getattr(df, "_stored_at", None):
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            fs, p = _file_system(df.sparkSession, path)
+            fs.delete(p, True)
+            fs.cancelDeleteOnExit(p)
             df._stored_at = None
