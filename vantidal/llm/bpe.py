@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import batches, documents
+from vantidal.llm.common import batches, bounded, documents
 
 #: The cut of byte-level BPE (letters, numbers and the rest, each with a leading blank).
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -41,11 +41,11 @@ LATIN_PIECES = (
 )
 
 #: Distinct pieces that a worker remembers; beyond this it starts anew.
-KNOWN_PIECES = 250_000
+KNOWN_PIECES = 100_000
 
 
 #: Characters of a text that are cut into pieces at once.
-LONG = 4 << 20
+LONG = 1 << 20
 _ENDS = re.compile(r"(?<=[^\s\x85\u180e])[ \n]")
 
 
@@ -238,14 +238,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(sent.value)
         for batch, texts in batches(rows):
-            ids = [[int(x) for x in s.split(",")] if s else [] for s in c.encode([(t or b"").decode() for t in texts])]
+            ids = [[int(x) for x in s.split(",")] if s else [] for s in c.encode([(t or b"").decode("utf-8", "replace") for t in texts])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())],
                 ["id", "ids", "n_tokens"],
             )
 
     kind = dict(docs.dtypes)[id_col]
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     return picked.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens bigint").withColumnRenamed("id", id_col)
 
 
@@ -265,14 +265,17 @@ def decode_documents(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id",
 
 
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (of the text decoded from the ids), in one pass per text."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (of the text decoded from the ids) for every row, in one pass per text.
+
+    A null text counts as empty; bytes that aren't UTF-8 are read as the replacement character. Rows may repeat.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(sent.value)
         for batch, texts in batches(rows):
             n, ids_sha, text_sha = [], [], []
-            for ids in c.encode([(t or b"").decode() for t in texts]):
+            for ids in c.encode([(t or b"").decode("utf-8", "replace") for t in texts]):
                 n.append(ids.count(",") + 1 if ids else 0)
                 ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
@@ -281,7 +284,7 @@ def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    picked = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    picked = bounded(docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")))
     kind = dict(docs.dtypes)["doc_id"]
     return picked.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -14,7 +15,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed on in slices of about this many bytes, whatever size the Arrow batches have.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch that Spark sends to Python, about (its own bound is 64 MB); one longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The frame; its session's Arrow batches are bounded from now on, unless the user has set a bound."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, "67108864b") == "67108864b":
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -45,6 +57,15 @@ def slices(sizes: Iterable[int], most: int = SLICE_BYTES) -> Iterator[slice]:
         yield slice(start, i)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker is used again by other stages, and the driver lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def batches(rows: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Arrow batches cut into bounded slices, each with its texts as bytes. After the last the word memories are emptied,
     so a worker that is used again doesn't hold those of several operators."""
@@ -57,6 +78,7 @@ def batches(rows: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tupl
             yield batch.slice(s.start, s.stop - s.start), as_bytes(column.slice(s.start, s.stop - s.start))
     for words in _MEMORIES:
         words.clear()
+    give_back()
 
 
 _MEMORIES: weakref.WeakSet = weakref.WeakSet()
@@ -81,7 +103,7 @@ class Words(dict):
 
 
 #: A longer text is split into words by runs of about this many bytes.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -109,7 +131,7 @@ def word_values(texts: list[bytes | None], values: Words, lower: bool = False) -
             w = (run.lower() if lower else run).split()
             found += w
             n += len(w)
-            if len(found) > 1 << 20:
+            if len(found) > 1 << 18:
                 parts.append(np.fromiter(map(get, found), np.uint64, len(found)))
                 found = []
         counts.append(n)
@@ -128,3 +150,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+# --- Joins that send few texts ---------------------------------------------------------------------
+
+#: Bits of the map that says which ids may be asked for: 2048 pieces of 4 kB, whatever the number of ids.
+MAP_BITS = 1 << 26
+
+
+def _mapped(docs: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """The rows with a column `__map`, and a condition that holds for every row whose key is among `ids` (and by chance for
+    some others). The broadcast map has 8 MB at most."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)).cast("long")
+    bits = ids.select(place(F.col(key)).alias("h"))
+    bits = bits.select(F.shiftright("h", 15).alias("__piece"), F.col("h").bitwiseAND(F.lit(32767)).alias("at")).repartition("__piece")
+    pieces = bits.groupBy("__piece").agg(F.expr("bitmap_construct_agg(at)").alias("__map"))
+    h = place(F.col(key))
+    at = h.bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("__map", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.bit_get(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    rows = docs.withColumn("__piece", F.shiftright(h, 15)).join(F.broadcast(pieces), "__piece", "left").drop("__piece")
+    return rows, F.coalesce(hit, F.lit(False)) & F.col(key).isNotNull()
+
+
+def asked_for(docs: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key may be among `ids`, without a shuffle. Some others come along: an exact join follows."""
+    rows, hit = _mapped(docs, ids, key)
+    return rows.filter(hit).drop("__map")
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't among `ids` (null keys stay). Only rows that the map points at are shuffled."""
+    rows, hit = _mapped(docs, ids, key)
+    clear, others = rows.filter(~hit).drop("__map"), rows.filter(hit).drop("__map")
+    return clear.unionByName(others.join(ids.select(key).distinct(), key, "left_anti").select(*clear.columns))

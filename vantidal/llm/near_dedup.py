@@ -10,7 +10,8 @@ minima do.
 Plan, in terms of distinct sets (copies meet by their set's hash and cost nothing further):
 
 1. bands of the sketch are buckets; each bucket gives pairs of its least document with the others (a star);
-2. pairs are verified on full sets, and verified links are joined to components;
+2. pairs that set sizes and sketches don't rule out are verified on full sets, and verified links are joined to
+   components; before that no text moves, and then only those of the pairs left;
 3. buckets whose members still lie in several components are compared block by block: sketches first, then
    the full sets of those members that have a likely partner in another component, all pairs of a block at
    once as a matrix product. A block gives back the links that join its components, no candidates.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import Words, as_bytes, batches, documents, mix, word_hash, word_values
+from vantidal.llm.common import Words, as_bytes, asked_for, batches, bounded, documents, mix, word_hash, word_values
 from vantidal.session import forget, through_store
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -116,17 +117,13 @@ def fast_sketches(sets: list[np.ndarray], size: int, seed: int) -> np.ndarray:
     return out
 
 
-def band_hashes(sketches: np.ndarray, bands: int) -> np.ndarray:
-    part = sketches.reshape(len(sketches), bands, -1)
-    m = np.uint64(0xD6E8FEB86659FD93)
-    h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), part.shape[:2]).copy()
-    for k in range(part.shape[2]):
-        h = mix(h * m + part[:, :, k])
-    return h.view(np.int64)
+def buckets(sketch: Column, p: Linking) -> Column:
+    """The hash of each band of a sketch, with the band's number."""
+    return F.array(*(F.xxhash64(F.lit(i), F.substring(sketch, i * p.rows + 1, p.rows)) for i in range(p.bands)))
 
 
 def sketch_documents(docs: DataFrame, p: Linking) -> DataFrame:
-    """id, n (set size), s1 and s2 (the set's hash), bands, sketch (a byte of each coordinate); both null for small sets."""
+    """id, n (set size), s1 and s2 (the set's hash), sketch (a byte of each coordinate; null for sets too small to be linked)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(rows):
@@ -135,21 +132,18 @@ def sketch_documents(docs: DataFrame, p: Linking) -> DataFrame:
             s1 = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64)
             s2 = np.array([mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
             large = np.flatnonzero(n >= p.least)
-            bands: list = [None] * len(sets)
             bytes_: list = [None] * len(sets)
             if len(large):
                 sk = fast_sketches([sets[i] for i in large], p.size, p.seed)
-                hashes, small = band_hashes(sk, p.bands), (sk & np.uint64(255)).astype(np.uint8)
-                for i, b, raw in zip(large.tolist(), hashes, small, strict=True):
-                    bands[i], bytes_[i] = b, raw.tobytes()
+                for i, raw in zip(large.tolist(), (sk & np.uint64(255)).astype(np.uint8), strict=True):
+                    bytes_[i] = raw.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(bytes_, pa.binary())],
-                ["id", "n", "s1", "s2", "bands", "sketch"],
-            )
+                [batch.column("id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(bytes_, pa.binary())],
+                ["id", "n", "s1", "s2", "sketch"],
+            )
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, bands array<bigint>, sketch binary")
+    return docs.mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, sketch binary")
 
 
 # --- Components --------------------------------------------------------------------------------
@@ -188,18 +182,38 @@ def components(links: DataFrame) -> DataFrame:
 # --- Verification ------------------------------------------------------------------------------
 
 
-def verified(pairs: DataFrame, texts: DataFrame, p: Linking) -> DataFrame:
+def likely_pairs(pairs: DataFrame, sketches: DataFrame, p: Linking) -> DataFrame:
+    """Those of the pairs (a, b) whose set sizes and sketches don't rule a link out; no text is looked at.
+
+    `sketches` has id, n and sketch, an id once or with several texts.
+    """
+    of = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    sizes = 100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")
+    both = pairs.join(of("b"), "b").join(of("a"), "a").filter(sizes).select("a", "b", "s_a", "s_b")
+    need = p.cut * p.size  # only low bytes are compared: unequal coordinates agree once in 256
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, p.size) for c in ("s_a", "s_b"))
+            keep = pa.array((x == y).sum(axis=1) >= need)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
+
+    kind = dict(pairs.dtypes)["a"]
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, p: Linking) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets are similar enough.
 
-    Each pair sends one text to its document a. A document with many pairs is dealt to several tasks.
+    Each pair sends one text to its document a. A document with many pairs is dealt to several tasks. Of `docs` (id,
+    text) only rows that a pair may ask for are shuffled.
     """
     fans = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.fan).cast("int").alias("fans"))
-    dealt = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), "fans").cast("int").alias("part"))
-    heads = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("part"))
-    member = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
-    head = heads.join(texts.withColumnRenamed("id", "a"), "a")
-    head = head.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
-    sent = head.union(member).repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    dealt = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), "fans").cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    heads = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("id"))
+    asked = through_store(heads.union(dealt), "asked")
+    sent = asked.join(asked_for(docs, asked), "id").select("a", "part", "role", F.col("id").alias("b"), "text")
+    sent = sent.repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, heads_ = None, []
@@ -225,7 +239,9 @@ def verified(pairs: DataFrame, texts: DataFrame, p: Linking) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds) for i in (0, 1)], ["a", "b"])
 
     kind = dict(pairs.dtypes)["a"]
-    return sent.mapInArrow(run, f"a {kind}, b {kind}")
+    out = sent.mapInArrow(run, f"a {kind}, b {kind}")
+    out._reads = (asked,)
+    return out
 
 
 # --- Buckets whose members lie in several components ---------------------------------------------
@@ -340,7 +356,7 @@ def shared_counts(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
     return out
 
 
-def _links_apart(likely: DataFrame, texts: DataFrame, p: Linking) -> DataFrame:
+def _links_apart(likely: DataFrame, docs: DataFrame, p: Linking) -> DataFrame:
     """Verified links (a, b) between components: of each block as many as join what it can join."""
 
     def each(key: tuple, columns: list[list]) -> list[tuple]:
@@ -367,7 +383,8 @@ def _links_apart(likely: DataFrame, texts: DataFrame, p: Linking) -> DataFrame:
         return out
 
     kind = dict(likely.dtypes)["id"]
-    return _by_block(likely.join(texts, "id"), ["id", "comp", "text"], f"a {kind}, b {kind}", each)
+    rows = likely.join(asked_for(docs, likely.select("id")), "id")
+    return _by_block(rows, ["id", "comp", "text"], f"a {kind}, b {kind}", each)
 
 
 # --- The operator --------------------------------------------------------------------------------
@@ -381,46 +398,53 @@ def near_duplicates(docs: DataFrame, linking: Linking | None = None, id_col: str
     all its texts. Only the id and the text are read, whatever other columns are called.
     """
     p = linking or Linking()
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     sk = through_store(sketch_documents(docs, p), "sketches")
 
-    whole = sk.filter("n > 0 AND id IS NOT NULL")
-    reps = whole.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    of = sk.select("id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left")
-    of = through_store(of.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "classes")
+    # Classes of equal sets; only those of several ids need a representative. The join's sides are stored, so a class
+    # with a third of all rows is a skewed key that adaptive execution splits.
+    classes = sk.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
+    classes = through_store(classes.filter("rep < top").drop("top"), "classes")
+    of = sk.join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
+    of = through_store(of.select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
+    forget(sk, classes)
     # An id that repeats with different texts belongs to several classes, which it joins.
     many = of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")
-    many = of.join(many, "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    many = of.select("id", "rep").join(many, "id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
-    # One row for each class: its representative's sketch. Repeated rows of it are alike.
-    own = whole.filter("bands IS NOT NULL").join(reps, ["n", "s1", "s2"]).filter("id = rep")
-    own = own.select("id", "bands", "sketch").dropDuplicates(["id", "bands"])
-    cells = own.select("id", F.explode("bands").alias("bucket"))
-    heads = cells.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("k")).filter("k > 1").select("bucket", "a")
+    # A class is its representative's sketch. Buckets with several ids are kept: their head and all their members.
+    own = of.filter("sketch IS NOT NULL").select("id", "n", "sketch")
+    cells = own.select("id", F.explode(buckets(F.col("sketch"), p)).alias("bucket"))
+    heads = cells.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("bucket", "a")
+    heads = through_store(heads, "heads")
     shared = through_store(cells.join(heads, "bucket").select("bucket", "a", "id"), "buckets")
-    members = shared.select("id").distinct()
-    sketches = through_store(own.select("id", "sketch").join(members, "id", "left_semi"), "members")
-    texts = through_store(docs.join(members, "id", "left_semi"), "texts")
+    forget(heads)
+    sketches = through_store(own.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "sketch"]), "sketches")
 
     star = through_store(shared.filter("a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = through_store(verified(star, texts, p).union(many), "links")
-    forget(sk, star)
+    pairs = through_store(likely_pairs(star, sketches, p).distinct(), "pairs")
+    forget(star)
+    real = verified(pairs, docs, p)
+    links = through_store(real.union(many), "links")
+    forget(pairs, real)
     comp = components(links)
     groups = _groups(shared, comp)
     likely = through_store(_likely(groups, sketches, p), "likely")
     forget(groups, shared, sketches)
     if not likely.isEmpty():
-        more = through_store(_links_apart(likely, texts, p), "links")
+        more = through_store(_links_apart(likely, docs, p), "links")
         if not more.isEmpty():
             first, comp = comp, components(links.union(more))
             forget(first)
         forget(more)
-    forget(likely, texts, links)
-    comp = comp.select(F.col("id").alias("rep"), "comp")
-    out = of.join(comp, "rep", "left").select(
+    forget(likely, links)
+    found = comp.select(F.col("id").alias("rep"), "comp")
+    out = of.join(found, "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id")
     )
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    out = out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    out._reads = (of, comp)
+    return out
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

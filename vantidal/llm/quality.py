@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import Words, batches, documents, is_held_out, mix, word_hash, word_values
+from vantidal.llm.common import Words, batches, bounded, documents, give_back, is_held_out, mix, word_hash, word_values
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ def word_vectors(docs: DataFrame, m: Model, text_col: str = "text") -> np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([out], pa.binary())], ["block", "part"])
 
     schema = "block int, part binary"
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, schema)
+    parts = bounded(docs.select(F.col(text_col).cast("string").alias("text"))).mapInArrow(count, schema)
     sums = parts.repartition(m.blocks, "block").mapInArrow(add, schema)
     out = np.zeros((m.cells, m.size), np.float32)
     step = m.cells // m.blocks
@@ -194,12 +194,15 @@ class Network:
         return _sigmoid(w * self.logits(x) / self.temperature + (1 - w) * self.prior)
 
 
+def _chunks(rows: np.ndarray) -> Iterator[np.ndarray]:
+    return (rows[s : s + 1024] for s in range(0, len(rows), 1024))
+
+
 def fit(x: np.ndarray, y: np.ndarray, m: Model) -> Network:
     """Adam on the log loss with weight decay; every fifth row is kept back for the temperature.
 
     With one class or none the network answers that class's share (a half without rows).
     """
-    x = x.astype(np.float64)
     d = x.shape[1] if x.ndim == 2 else features(m)
     rng = np.random.default_rng(m.seed)
     if len(y) < 10 or y.min() == y.max():
@@ -209,13 +212,13 @@ def fit(x: np.ndarray, y: np.ndarray, m: Model) -> Network:
         return Network(np.zeros(d), np.ones(d), zero, np.zeros(m.hidden), np.zeros(m.hidden), odds, prior=odds)
     order = rng.permutation(len(y))
     back, fitted = order[: len(y) // 5], order[len(y) // 5 :]
-    mean, scale = x[fitted].mean(0), x[fitted].std(0) + 1e-6
+    mean = sum(x[i].sum(0, dtype=np.float64) for i in _chunks(fitted)) / len(fitted)
+    scale = np.sqrt(sum(((x[i] - mean) ** 2).sum(0) for i in _chunks(fitted)) / len(fitted)) + 1e-6
     net = Network(
         mean, scale, rng.normal(0, np.sqrt(2 / d), (d, m.hidden)), np.zeros(m.hidden),
         rng.normal(0, np.sqrt(1 / m.hidden), m.hidden), float(np.log(y[fitted].mean() / (1 - y[fitted].mean() + 1e-9) + 1e-9)),
     )
     net.prior = net.b2
-    z = (x - mean) / scale
     parts = [net.w1, net.b1, net.w2, np.array([net.b2])]
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     step, size = 0, 256
@@ -224,11 +227,12 @@ def fit(x: np.ndarray, y: np.ndarray, m: Model) -> Network:
         fitted = rng.permutation(fitted)
         for s in range(0, len(fitted), size):
             i = fitted[s : s + size]
-            pre = z[i] @ parts[0] + parts[1]
+            z = (x[i] - mean) / scale  # in doubles, a minibatch at a time
+            pre = z @ parts[0] + parts[1]
             h = np.maximum(pre, 0)
             g = (_sigmoid(h @ parts[2] + parts[3][0]) - y[i]) / len(i)
             gh = np.outer(g, parts[2]) * (pre > 0)
-            grads = [z[i].T @ gh + 1e-4 * parts[0], gh.sum(0), h.T @ g + 1e-4 * parts[2], np.array([g.sum()])]
+            grads = [z.T @ gh + 1e-4 * parts[0], gh.sum(0), h.T @ g + 1e-4 * parts[2], np.array([g.sum()])]
             step += 1
             for k, grad in enumerate(grads):
                 first[k] = 0.9 * first[k] + 0.1 * grad
@@ -278,10 +282,16 @@ def learn(
     y = y.filter(~is_held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     y = y.orderBy(F.xxhash64("id"), "id").limit(m.sample)
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    rows = _pool(picked.join(F.broadcast(y), "id").select("id", "y", "text"), sent, m).collect()
-    rows.sort(key=lambda r: (r.id, r.x))  # the fit mustn't depend on the order of the tasks
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), features(m))
-    return table, fit(x, np.array([r.y for r in rows], np.float64), m)
+    rows = _pool(picked.join(F.broadcast(y), "id").select("id", "y", "text"), sent, m).toArrow()  # m.sample rows, in single precision
+    sent.destroy()
+    ids, ys, xs = (rows.column(c).to_pylist() for c in ("id", "y", "x"))
+    del rows
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], xs[i]))  # the fit mustn't depend on the order of the tasks
+    x = np.frombuffer(b"".join([xs[i] for i in order]), np.float32).reshape(len(order), features(m))
+    net = fit(x, np.array([ys[i] for i in order], np.float64), m)
+    del x, xs
+    give_back()
+    return table, net
 
 
 def score(
