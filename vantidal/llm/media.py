@@ -4,7 +4,8 @@ The decoder reads GIF87a and GIF89a: logical screen, global and local palettes,
 (variable width, clear codes, deferred clears), interlace, graphic control (delay, transparency,
 disposal) and frames smaller than the screen. The encoder writes 8-bit indexed frames with real LZW.
 A payload of bytes is stored as frames of 64 columns whose palette is the 256 greys, so that a sample's
-colour is its byte.
+colour is its byte. The stored file is a column; a second pass reads it, draws its frames on the screen one after the other
+(transparency and disposal included) and takes payload, times and colour histograms from what the screen shows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import batches, documents
+from vantidal.llm.common import batches, bounded, documents
 
 #: Frames of a stored payload: samples a row, and rows a frame at most (1 MiB).
 WIDTH, ROWS = 64, 16384
@@ -313,16 +314,21 @@ def store_payload(payload: bytes) -> bytes:
     return encode_gif([samples[i : i + ROWS] for i in range(0, len(samples), ROWS)])
 
 
-def read_payload(media: bytes) -> tuple[bytes, list[np.ndarray]]:
-    """The payload: each frame's colours through its palette (greys: a colour is its byte), and the frames' samples."""
-    frames = [f.palette[:, 0][f.samples] for f in decode_gif(media, screens=False)]
-    return b"".join(f.tobytes() for f in frames), frames
+def read_payload(media: bytes) -> tuple[bytes, list[tuple[int, list[int]]]]:
+    """The payload, taken from the screen where each frame was drawn (a grey is its byte), and each frame's delay in ms and
+    colour histogram."""
+    parts, frames = [], []
+    for f in decode_gif(media):
+        drawn = f.screen[f.top : f.top + f.height, f.left : f.left + f.width]
+        parts.append(drawn[:, :, 0].tobytes())
+        frames.append((f.delay * 10, histogram(drawn)))
+    return b"".join(parts), frames
 
 
 def histogram(rgb: np.ndarray) -> list[int]:
     """Counts of BINS equal bins for each of red, green and blue."""
     flat = rgb.reshape(-1, 3)
-    return [int(n) for k in range(3) for n in np.bincount(flat[:, k] // (256 // BINS), minlength=BINS)]
+    return [int(n) for k in range(3) for n in np.bincount(np.ascontiguousarray(flat[:, k]) // (256 // BINS), minlength=BINS)]
 
 
 FRAMES = "frame int, at_ms bigint, delay_ms bigint, width int, height int, histogram array<bigint>, error string"
@@ -367,32 +373,48 @@ DIGESTS = {
 }
 
 
-def media_digest(text: bytes | None) -> tuple:
-    """Of a text stored as a GIF and read back: sizes, digests and the colour histogram of all its frames as the feature."""
-    text = text or b""
-    media = store_payload(text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text)))
+def padded(text: bytes) -> bytes:
+    """The text with bytes 0 up to a positive multiple of 64."""
+    return text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text))
+
+
+def store_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and media (the text as a GIF) for every row; a null text counts as empty."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(rows):
+            raw = [t or b"" for t in texts]
+            media = pa.array([store_payload(padded(t)) for t in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), media], ["doc_id", "n_bytes", "media"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    picked = bounded(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    return picked.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
+
+
+def media_digest(n: int, media: bytes) -> tuple:
+    """Of a stored GIF, read back frame by frame: sizes, digests and as the feature the number of frames, their time in ms and
+    the colour histogram of all of them (red, green, blue)."""
     payload, frames = read_payload(media)
-    grey = sum(np.bincount(f.ravel() // (256 // BINS), minlength=BINS) for f in frames)
-    feature = ":".join([str(len(frames)), ",".join(map(str, grey.tolist()))])
+    colours = np.array([h for _, h in frames]).sum(axis=0)
+    feature = ":".join([str(len(frames)), str(sum(ms for ms, _ in frames)), *(",".join(map(str, c.tolist())) for c in colours.reshape(3, -1))])
     return (
-        len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]),
-        len(media), hashlib.sha256(media).hexdigest(), feature,
+        n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature,
     )
 
 
 def stored_documents(docs: DataFrame) -> DataFrame:
-    """The digest columns for every row; a null text counts as empty. Equal texts give equal values."""
+    """The digest columns for every row, from its stored GIF; a null text counts as empty. Equal texts give equal values."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches(rows):
-            cols = zip(*(media_digest(t) for t in texts), strict=True)
-            kinds = list(DIGESTS.values())[1:]
-            arrays = [pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]
+        for batch, media in batches(rows, "media"):
+            cols = zip(*(media_digest(n, m) for n, m in zip(batch.column("n_bytes").to_pylist(), media, strict=True)), strict=True)
+            arrays = [pa.array(list(c), k) for c, k in zip(cols, list(DIGESTS.values())[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], list(DIGESTS))
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return store_documents(docs).mapInArrow(run, schema)
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

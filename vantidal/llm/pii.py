@@ -1,15 +1,19 @@
 """PII: detected entities are replaced with keyed surrogates of the same type and format.
 
 Detection finds e-mail and IP addresses, phone, card, account and social security numbers, secrets given
-as `name = value`, and names after a title. An entity's surrogate follows from the key, its type and its
-normal form alone, so one entity has one surrogate in all documents (coreference). Digits stay digits,
-letters stay letters of the same case and script, cards keep their check digit valid or invalid as it
-was, an address keeps its form, a name keeps gender, script and number of parts.
+as `name = value`, and names: after a title, before an address in angle brackets, after phrases that introduce a name, and
+their parts wherever else the same text has them. An entity's surrogate follows from the key, its type and its normal form,
+so one entity has one surrogate in all documents (coreference). Digits stay digits, letters stay letters of the same case and
+script, cards keep their check digit valid or invalid as it was, an address keeps its form.
+
+A name is replaced part by part: each part is an entity, so `Dr Anna Weber`, `Frau Anna Weber` and `Mrs Weber` stay one
+person. What a part is (a given name of one gender, of both or of an unknown one, or a family name) is decided from all its
+mentions in the corpus.
 
 Collision checks: all surrogates of the corpus are compared. If two entities of a type got the same one,
 or a surrogate is itself an entity of the corpus, the entity of larger hash draws again with the next
-attempt number, until all are distinct. Almost always attempt 0 stands, so only the few other entities
-are joined back to their documents.
+attempt number, until all are distinct; later attempts draw from wider spaces, so this ends. Almost always a text's own
+mentions and attempt 0 stand, so only the few texts with other entities are joined with what was decided.
 """
 
 from __future__ import annotations
@@ -24,13 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import documents
-from vantidal.session import through_store
+from vantidal.llm.common import asked_for, batches, bounded, documents, without
+from vantidal.session import forget, through_store
+
+#: The setting that names the key.
+KEY = "spark.vantidal.pii.key"
+#: Attempts after which a surrogate may grow beyond its entity's length, and after which something must be wrong.
+WIDEN, MOST = 6, 100
+
 
-#: Rounds of redrawing; each leaves a small part of the collisions of the one before.
-ROUNDS = 8
-#: Documents with redrawn entities up to which their list is broadcast; beyond it is joined by document.
-SMALL = 20_000
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key. Without one the registered queries use an open key: their surrogates hide nothing from a reader of
+    this source, so a real run sets the key."""
+    return spark.conf.get(KEY, "an open key for tests").encode()
 
 
 @dataclass(frozen=True)
@@ -39,6 +49,8 @@ class Entity:
     start: int
     end: int
     value: str  #: as found
+    given: bool = False  #: of a name's part: a given name
+    gender: str = ""  #: m or f where a title says so
 
 
 # --- Detection ---------------------------------------------------------------------------------
@@ -59,14 +71,19 @@ _SECRET = re.compile(
 _KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp|gho|sk|pk)_[A-Za-z0-9_]{16,255}")
 #: Titles before a name, by gender.
 TITLES = {
-    "m": ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don"),
-    "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña"),
-    "n": ("Dr", "Prof"),
+    "m": ("Mr", "Mister", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Signor"),
+    "f": ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Fräulein", "Madame", "Mme", "Mlle", "Mademoiselle", "Señora", "Sra", "Señorita", "Srta", "Doña", "Dra", "Signora"),
+    "n": ("Dr", "Prof", "Professor", "Mx", "Rev"),
 }
+#: What comes before a name that somebody gives.
+PHRASES = ("my name is", "mein Name ist", "ich heiße", "je m'appelle", "mon nom est", "me llamo", "mi nombre es")
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_NAME = re.compile(
-    r"\b(?P<title>" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")\.?[  ](?P<name>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})"
-)
+_PART = r"[^\W\d_a-z][^\W\d_]+"
+_ANY_TITLE = "|".join(sorted(_GENDER, key=len, reverse=True))
+_NAME = re.compile(rf"\b(?P<titles>(?:(?:{_ANY_TITLE})\.?[ \xa0])+)(?P<name>{_PART}(?:[ -]{_PART}){{0,2}})")
+_GIVEN_AS = re.compile(rf"(?:(?i:\b(?:{'|'.join(map(re.escape, PHRASES))})\b)[ \xa0])(?P<name>{_PART}(?:[ -]{_PART}){{1,2}})")
+_ADDRESSEE = re.compile(rf"(?<!\w)(?P<name>{_PART}(?:[ -]{_PART}){{1,2}})(?=\"? <[^<>\s@]{{1,64}}@)")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def _luhn(digits: str) -> int:
@@ -74,53 +91,93 @@ def _luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
 
 
+def _fitted(taken: list[Entity], more: list[Entity]) -> list[Entity]:
+    """Both lists in order of their starts, without those of `more` that overlap others; one pass over both."""
+    out: list[Entity] = []
+    i = 0
+    for e in more:
+        while i < len(taken) and taken[i].end <= e.start:
+            out.append(taken[i])
+            i += 1
+        if (i == len(taken) or taken[i].start >= e.end) and (not out or out[-1].end <= e.start):
+            out.append(e)
+    return out + taken[i:]
+
+
+def _parts(start: int, name: str, gender: str) -> Iterator[Entity]:
+    """The parts of a name: all but the last word are given names; a title tells the gender of the first, or of a lone one."""
+    words = name.split(" ")
+    at = start
+    for i, w in enumerate(words):
+        for m in _WORD.finditer(w):
+            given = i < len(words) - 1
+            yield Entity("name", at + m.start(), at + m.end(), m[0], given, gender if i == 0 else "")
+        at += len(w) + 1
+
+
+def _names(text: str) -> list[Entity]:
+    found: list[Entity] = []
+    for m in _NAME.finditer(text):
+        if not m["name"][0].islower():
+            genders = [_GENDER[t.rstrip(".")] for t in re.split("[ \xa0]", m["titles"].strip(" \xa0"))]
+            found += _parts(m.start("name"), m["name"], next((g for g in genders if g != "n"), ""))
+    for pattern in (_GIVEN_AS, *([_ADDRESSEE] if "@" in text else [])):
+        found = _fitted(found, [e for m in pattern.finditer(text) for e in _parts(m.start("name"), m["name"], "")])
+    known = {e.value: e for e in reversed(found) if len(e.value) > 2}
+    if known:  # the same words elsewhere in the text
+        again = [Entity("name", *m.span(), m[0], known[m[0]].given) for m in _WORD.finditer(text) if m[0] in known]
+        found = _fitted(found, again)
+    return found
+
+
 def detect(text: str | None) -> list[Entity]:
     """The entities of a text in order, without overlaps: of two that overlap the earlier type of this list counts."""
     if not text:
         return []
-    found: list[Entity] = []
-    digits = any(c in text for c in "0123456789")
+    by_start = lambda found: sorted(found, key=lambda e: (e.start, -e.end))
+    secrets = [Entity("secret", *m.span(), m[0]) for m in _KEY_ID.finditer(text)]
     if "=" in text or ":" in text:
-        for m in _SECRET.finditer(text):
-            found.append(Entity("secret", *m.span("value"), m["value"]))
+        secrets += [Entity("secret", *m.span("value"), m["value"]) for m in _SECRET.finditer(text)]
+    found = _fitted([], by_start(secrets))
     if "@" in text:
-        found += [Entity("email", *m.span(), m[0]) for m in _EMAIL.finditer(text)]
-    found += [Entity("secret", *m.span(), m[0]) for m in _KEY_ID.finditer(text)]
-    if digits:
+        found = _fitted(found, [Entity("email", *m.span(), m[0]) for m in _EMAIL.finditer(text)])
+    if any(c in text for c in "0123456789"):
         for kind, pattern in (("ip", _IP), ("iban", _IBAN), ("card", _CARD), ("ssn", _SSN), ("phone", _PHONE)):
-            found += [Entity(kind, *m.span(), m[0]) for m in pattern.finditer(text)]
-    for m in _NAME.finditer(text):
-        if not m["name"][0].islower():
-            found.append(Entity("name-" + _GENDER[m["title"]], *m.span("name"), m["name"]))
-    if len(found) < 2:
-        return found
-    rank = {k: i for i, k in enumerate(("secret", "email", "ip", "iban", "card", "ssn", "phone", "name-m", "name-f", "name-n"))}
-    taken: list[Entity] = []
-    for e in sorted(found, key=lambda e: (rank[e.kind], e.start, -e.end)):
-        if all(e.end <= t.start or e.start >= t.end for t in taken):
-            taken.append(e)
-    return sorted(taken, key=lambda e: e.start)
+            found = _fitted(found, [Entity(kind, *m.span(), m[0]) for m in pattern.finditer(text)])
+    return _fitted(found, _names(text))
 
 
 _SIGNS = re.compile(r"[^0-9A-Za-z+]")
 
 
 def normal(kind: str, value: str) -> str:
-    """What counts as the same entity: case of addresses and separators of numbers don't."""
-    if kind in ("email", "ip"):
+    """What counts as the same entity: case of addresses and names and separators of numbers don't."""
+    if kind in ("email", "ip", "name"):
         return value.lower()
     if kind in ("card", "ssn", "phone", "iban"):
         return _SIGNS.sub("", value).upper()
-    return " ".join(value.split())
+    return value
+
+
+def role(given: bool, m: bool, f: bool) -> str:
+    """What a name's part is: s (a family name) or g with m, f or n (unknown, or of both)."""
+    return "s" if not given else "gm" if m and not f else "gf" if f and not m else "gn"
+
+
+def entities_of(text: str | None) -> dict[tuple[str, str], tuple[bool, bool, bool]]:
+    """kind and normal form of a text's entities; of names whether a mention is given, or its title tells m or f."""
+    out: dict[tuple[str, str], tuple[bool, bool, bool]] = {}
+    for e in detect(text):
+        k = (e.kind, normal(e.kind, e.value))
+        given, m, f = out.get(k, (False, False, False))
+        out[k] = (given or e.given, m or e.gender == "m", f or e.gender == "f")
+    return out
 
 
 # --- Surrogates --------------------------------------------------------------------------------
 
-#: First names by gender, in Latin script; a name of unknown gender takes from both.
-FIRST = {
-    "m": ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karel", "Leon", "Marco", "Nils", "Oskar", "Paul"),
-    "f": ("Anna", "Berta", "Clara", "Dora", "Emma", "Frida", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"),
-}
+#: How made-up given names end.
+ENDINGS = {"m": ("o", "us", "an", "ik"), "f": ("a", "ia", "ina", "ette"), "n": ("i", "e", "y", "is")}
 ONSETS, VOWELS = "bdfgklmnprstvz", "aeiou"
 #: Letters that surrogates in other scripts are made of, by the first code point of the script's block.
 SCRIPTS = {0x0370: "αβγδεικλμνορστ", 0x0400: "абвгдеиклмнорст", 0x0590: "אבגדהוזחטיכל", 0x0600: "ابتثجحدرسع", 0x3040: "あいうえおかきくけこ", 0x4E00: "安百成大方高海江金林"}
@@ -180,40 +237,38 @@ def _word(draw: Draw, syllables: int) -> str:
     return "".join(draw.pick(ONSETS) + draw.pick(VOWELS) for _ in range(syllables))
 
 
-def core(key: bytes, kind: str, norm: str, attempt: int) -> str:
-    """The surrogate's normal form."""
+def core(key: bytes, kind: str, norm: str, attempt: int, part: str = "") -> str:
+    """The surrogate's normal form. `part` is what a name's part is. After WIDEN attempts it grows with each."""
     d = Draw(key, kind, norm, attempt)
+    more = max(0, attempt - WIDEN)
+    digits = lambda n: "".join(str(d.below(10)) for _ in range(n))
     if kind == "email":
-        local, _, host = norm.rpartition("@")
+        local, _, _ = norm.rpartition("@")
         name = re.sub(r"[a-z]+", lambda m: "".join(chr(97 + d.below(26)) for _ in m[0]), re.sub(r"\d", lambda _: str(d.below(10)), local))
-        return f"{name}@{_word(d, 4)}.invalid" if len(local) >= 6 else f"{name}{_word(d, 3)}@{_word(d, 4)}.invalid"
-    if kind == "ip":
-        return ".".join([str(240 + d.below(15)), *(str(d.below(256)) for _ in range(3))])  # 240.0.0.0/4 is reserved
+        return f"{name}@{_word(d, 4 + more)}.invalid" if len(local) >= 6 else f"{name}{_word(d, 3)}@{_word(d, 4 + more)}.invalid"
+    if kind == "ip":  # 240.0.0.0/4 is reserved; beyond it any address that the corpus doesn't have
+        return ".".join([str(d.below(256) if more else 240 + d.below(15)), *(str(d.below(256)) for _ in range(3))])
     if kind == "card":
-        body = "9" + "".join(str(d.below(10)) for _ in norm[1:-1])  # no issuer's cards begin with 9
+        body = "9" + digits(len(norm) - 2 + more)  # no issuer's cards begin with 9
         check = next(c for c in "0123456789" if _luhn(body + c) % 10 == 0)
         return body + (check if _luhn(norm) % 10 == 0 else str((int(check) + 1 + d.below(9)) % 10))
     if kind == "ssn":
-        return "9" + "".join(str(d.below(10)) for _ in range(8))  # numbers that begin with 9 aren't issued
+        return (digits(1) if more else "9") + digits(8 + max(0, more - WIDEN))  # numbers that begin with 9 aren't issued
     if kind == "iban":
-        body = "".join(str(d.below(10)) if c.isdigit() else chr(65 + d.below(26)) for c in norm[4:])
+        body = "".join(str(d.below(10)) if c.isdigit() else chr(65 + d.below(26)) for c in norm[4:]) + digits(more)
         return f"{norm[:2]}{98 - int(''.join(str(int(c, 36)) for c in body + norm[:2] + '00')) % 97:02d}{body}"
     if kind == "phone":
         keep = re.match(r"\+\d{1,3}(?=\d{9,10}$)|\+?", norm)[0]  # the country's code
-        return keep + "".join(str(d.below(10)) for _ in norm[len(keep) :])
-    if kind.startswith("name-"):
-        parts = norm.split(" ")
-        gender = kind[-1] if kind[-1] != "n" else d.pick("mf")
-        out = []
-        for i, p in enumerate(parts):
-            if p.isascii() or max(map(ord, p)) < 0x0370:
-                first = i == 0 and len(parts) > 1
-                out.append(d.pick(FIRST[gender]) if first else _word(d, 4).capitalize())
-            else:
-                out.append("".join(_letter(d, c) if c.isalpha() else c for c in p))
-        return " ".join(out)
+        return keep + digits(len(norm) - len(keep) + more)
+    if kind == "name":
+        if norm.isascii() or max(map(ord, norm)) < 0x0370:
+            if part.startswith("g"):
+                return _word(d, 2 + attempt // 3) + d.pick(ENDINGS[part[1]])
+            return _word(d, 4 + attempt // 3)
+        letters = norm + norm[-1] * (attempt // 3)
+        return "".join(_letter(d, c) if c.isalpha() else c for c in letters)
     keep = re.match(r"AKIA|ASIA|(?:ghp|gho|sk|pk)_|", norm)[0]  # the mark of a key's maker
-    return keep + _like(d, norm[len(keep) :])
+    return keep + _like(d, norm[len(keep) :] + "x" * more)
 
 
 def dressed(kind: str, surrogate: str, value: str) -> str:
@@ -221,120 +276,143 @@ def dressed(kind: str, surrogate: str, value: str) -> str:
     if kind in ("card", "ssn", "phone", "iban"):
         it = iter(surrogate)
         return "".join(next(it, "") if re.match(r"[0-9A-Za-z+]", c) else c for c in value) + "".join(it)
-    if kind == "email" and value.isupper():
+    if kind in ("email", "name") and value.isupper() and len(value) > 1:
         return surrogate.upper()
+    if kind == "name" and value[0].isupper():
+        return surrogate[0].upper() + surrogate[1:]
     return surrogate
 
 
-def rewrite(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, list[tuple]]:
-    """The text with surrogates, and a span (kind, start, end, surrogate) for each in the new text."""
+Decided = dict[tuple[str, str], tuple[int, str]]
+
+
+def rewrite(text: str | None, key: bytes, decided: Decided) -> tuple[str | None, list[tuple]]:
+    """The text with surrogates, and a span (kind, start, end, surrogate) for each in the new text.
+
+    `decided` has attempt and part of the entities for which attempt 0 and what this text says don't stand.
+    """
+    found = detect(text)
+    if not found:
+        return text, []
+    own = {k: (0, role(*v) if k[0] == "name" else "") for k, v in entities_of(text).items()} if any(e.kind == "name" for e in found) else {}
+    made: dict[tuple[str, str], str] = {}
     out, spans, at, grown = [], [], 0, 0
-    for e in detect(text):
-        norm = normal(e.kind, e.value)
-        s = dressed(e.kind, core(key, e.kind, norm, attempts.get((e.kind, norm), 0)), e.value)
+    for e in found:
+        k = (e.kind, normal(e.kind, e.value))
+        if k not in made:
+            attempt, part = decided.get(k) or own.get(k) or (0, "")
+            made[k] = core(key, *k, attempt, part)
+        s = dressed(e.kind, made[k], e.value)
         out += [text[at : e.start], s]
         spans.append((e.kind, e.start + grown, e.start + grown + len(s), s))
         grown += len(s) - (e.end - e.start)
         at = e.end
-    return (text if not out else "".join([*out, text[at:]])), spans
+    return "".join([*out, text[at:]]), spans
 
 
 # --- The corpus --------------------------------------------------------------------------------
 
 
-def _digest(kind: str, norm: str) -> bytes:
-    return hashlib.blake2b(f"{kind}\0{norm}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """k (the text's hash), kind, norm, given, m, f and part of each entity of a text."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(rows):
+            at, found = [], []
+            for i, t in enumerate(texts):
+                for (kind, norm), said in entities_of((t or b"").decode("utf-8", "replace")).items():
+                    at.append(i)
+                    found.append((kind, norm, *said, role(*said) if kind == "name" else ""))
+            if found:
+                kinds = (pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string())
+                cols = [pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(at, pa.int32())), *cols], ["k", "kind", "norm", "given", "m", "f", "part"])
+
+    picked = bounded(docs.select(F.xxhash64(text_col).alias("k"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL"))
+    return picked.mapInArrow(run, "k bigint, kind string, norm string, given boolean, m boolean, f boolean, part string")
 
 
-def mentions(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, kind, norm and the attempt-0 surrogate of each entity of a document, once a document."""
+def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
+    """kind, norm, part, attempt and the surrogate of that attempt."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            at, kinds, norms, cores = [], [], [], []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                for kind, norm in dict.fromkeys((e.kind, normal(e.kind, e.value)) for e in detect(t)):
-                    at.append(i)
-                    kinds.append(kind)
-                    norms.append(norm)
-                    cores.append(core(key, kind, norm, 0))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(at, pa.int32())), pa.array(kinds, pa.string()), pa.array(norms, pa.string()),
-                 pa.array(cores, pa.string())], ["id", "kind", "norm", "core"],
-            )
+            kinds, norms, parts, attempts = (batch.column(c).to_pylist() for c in ("kind", "norm", "part", "attempt"))
+            cores = [core(key, k, n, a, p) for k, n, p, a in zip(kinds, norms, parts, attempts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "norm", "part", "attempt")), pa.array(cores, pa.string())],
+                                             ["kind", "norm", "part", "attempt", "core"])
 
-    kind = dict(docs.dtypes)[id_col]
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    return picked.mapInArrow(run, f"id {kind}, kind string, norm string, core string")
+    picked = entities.select("kind", "norm", "part", F.col("attempt").cast("int").alias("attempt"))
+    return picked.mapInArrow(run, "kind string, norm string, part string, attempt int, core string")
 
 
-def redrawn(entities: DataFrame, key: bytes) -> DataFrame:
-    """kind, norm, attempt of the entities whose surrogate isn't that of attempt 0.
+def settled(entities: DataFrame, key: bytes, now: DataFrame | None = None) -> DataFrame:
+    """kind, norm, part, attempt and core of all entities (kind, norm, part, each once), all cores distinct.
 
-    `entities` has kind, norm and core, each entity once. A surrogate shared by two entities, or equal to an
-    entity's normal form, is kept by none but the entity of the least hash (by none in the second case).
+    A surrogate shared by two entities of a kind, or equal to an entity's normal form, is kept by none but the entity of the
+    least attempt and hash (by none in the second case). `now` gives draws to begin with.
     """
-
-    def again(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            cols = [batch.column(c).to_pylist() for c in ("kind", "norm", "attempt")]
-            cores = [core(key, k, n, a) for k, n, a in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cores, pa.string()), pa.array(cols[2], pa.int32())],
-                ["kind", "norm", "core", "attempt"],
-            )
-
-    schema = "kind string, norm string, core string, attempt int"
-    family = F.regexp_replace("kind", "-.*", "")  # names of any gender share one space
-    now = entities.withColumn("attempt", F.lit(0))
-    for _ in range(ROUNDS):
-        keyed = now.withColumn("family", family)
-        order = F.struct("attempt", F.xxhash64("kind", "norm"), "kind", "norm")
-        first = keyed.groupBy("family", "core").agg(F.min(order).alias("first"), F.count("*").alias("k")).filter("k > 1")
-        shared = keyed.join(first, ["family", "core"]).filter(order != F.col("first")).select("kind", "norm", "attempt")
-        real = entities.select(family.alias("family"), F.col("norm").alias("core")).distinct()
-        taken = keyed.join(real, ["family", "core"], "left_semi").select("kind", "norm", "attempt")
+    now = now if now is not None else through_store(_drawn(entities.withColumn("attempt", F.lit(0)), key), "surrogates")
+    real = entities.select("kind", F.col("norm").alias("core")).distinct()
+    order = F.struct("attempt", F.xxhash64("kind", "norm"), "norm")
+    for _ in range(MOST):
+        first = now.groupBy("kind", "core").agg(F.min(order).alias("first"), F.count("*").alias("k")).filter("k > 1")
+        shared = now.join(first, ["kind", "core"]).filter(order != F.col("first")).select("kind", "norm", "part", "attempt")
+        taken = now.join(real, ["kind", "core"], "left_semi").select("kind", "norm", "part", "attempt")
         bad = through_store(shared.union(taken).distinct(), "collisions")
         if bad.isEmpty():
-            break
-        new = bad.withColumn("attempt", F.col("attempt") + 1).mapInArrow(again, schema)
-        now = through_store(now.join(bad.select("kind", "norm"), ["kind", "norm"], "left_anti").unionByName(new), "surrogates")
-    return now.filter("attempt > 0").select("kind", "norm", "attempt")
+            forget(bad)
+            return now
+        new = _drawn(bad.withColumn("attempt", F.col("attempt") + 1), key)
+        old, now = now, through_store(now.join(bad.select("kind", "norm"), ["kind", "norm"], "left_anti").unionByName(new), "surrogates")
+        forget(old, bad)
+    raise RuntimeError("surrogates can't be made distinct")
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,surrogate:string>>"
 
 
 def replace_entities(
-    docs: DataFrame, key: bytes = b"vantidal", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+    docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """id, the kept columns, text with surrogates and spans, for every row.
 
     A null text stays null and an empty one empty, both without spans. Rows that repeat an id are rewritten
-    each, by the same surrogates. Spans count characters of the new text.
+    each, by the same surrogates, and so are rows with a null id. Spans count characters of the new text.
     """
-    found = through_store(mentions(docs, key, id_col, text_col), "mentions")
-    entities = found.select("kind", "norm", "core").distinct()
-    again = through_store(redrawn(entities, key), "redrawn")
+    found = through_store(mentions(docs, text_col), "mentions")
+    entities = found.groupBy("kind", "norm").agg(
+        F.bool_or("given").alias("given"), F.bool_or("m").alias("m"), F.bool_or("f").alias("f"), F.min("part").alias("least"), F.max("part").alias("most")
+    )
+    gender = F.when(F.col("m") & ~F.col("f"), "gm").when(F.col("f") & ~F.col("m"), "gf").otherwise("gn")
+    part = F.when(F.col("kind") != "name", "").when(F.col("given"), gender).otherwise("s")
+    entities = through_store(entities.select("kind", "norm", part.alias("part"), ((F.col("least") != part) | (F.col("most") != part)).alias("mixed")), "entities")
+    final = settled(entities, key)
+    special = final.join(entities.filter("mixed").select("kind", "norm", "mixed"), ["kind", "norm"], "left").filter("attempt > 0 OR mixed")
+    special = through_store(special.select("kind", "norm", F.col("attempt").alias("attempt"), F.col("part").alias("decided")), "special")
     kinds = dict(docs.dtypes)
     names = [id_col, *keep]
-    picked = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.col(text_col).cast("string").alias("text"))
-    empty = F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>")
-    if again.isEmpty():
-        picked = picked.withColumn("again", empty)
-    else:  # few entities: what a document's own ones are is gathered by document
-        own = found.join(again, ["kind", "norm"]).groupBy("id").agg(F.collect_set(F.struct("kind", "norm", "attempt")).alias("again"))
-        own = through_store(own, "redrawn")
-        small = own.limit(SMALL + 1).count() <= SMALL
-        picked = picked.join(F.broadcast(own) if small else own, F.col("c0").eqNullSafe(F.col("id")), "left")  # null ids too
-    picked = picked.select(*(f"c{i}" for i in range(len(names))), "text", "again")
+    picked = bounded(docs.select(
+        *(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), F.xxhash64(text_col).alias("k"), F.col(text_col).cast("string").alias("text")
+    ))
+    none = F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int,decided:string>>")
+    if special.isEmpty():
+        rows = picked.withColumn("decided", none)
+        own = None
+    else:  # what was decided of a text's own entities, gathered by text; other texts aren't shuffled
+        hers = found.join(special, ["kind", "norm"]).filter("attempt > 0 OR part <> decided")
+        own = through_store(hers.groupBy("k").agg(F.collect_set(F.struct("kind", "norm", "attempt", "decided")).alias("decided")), "decided")
+        few = asked_for(picked, own.select("k"), "k").join(own, "k").select(*picked.columns, "decided")
+        rows = without(picked, own.select("k"), "k").withColumn("decided", none).unionByName(few)
+    rows = rows.select(*(f"c{i}" for i in range(len(names))), "decided", "text")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("surrogate", pa.string())]))
-        for batch in rows:
+        for batch, raw in batches(rows):
             texts, spans = [], []
-            for t, a in zip(batch.column("text").to_pylist(), batch.column("again").to_pylist(), strict=True):
-                new, s = rewrite(t, key, {(x["kind"], x["norm"]): x["attempt"] for x in a or ()})
+            for t, a in zip(raw, batch.column("decided").to_pylist(), strict=True):
+                text = None if t is None else t.decode("utf-8", "replace")
+                new, s = rewrite(text, key, {(x["kind"], x["norm"]): (x["attempt"], x["decided"]) for x in a or ()})
                 texts.append(new)
                 spans.append([dict(zip(("kind", "start", "end", "surrogate"), x, strict=True)) for x in s])
             cols = [batch.column(i) for i in range(len(names))]
@@ -342,11 +420,14 @@ def replace_entities(
                 [*cols, pa.array(texts, pa.string()), pa.array(spans, span)], [*batch.schema.names[: len(names)], "text", "spans"]
             )
 
+    forget(found, entities, final, special)
     head = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names))
-    out = picked.mapInArrow(run, f"{head}, text string, spans {SPANS}")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("text").alias(text_col), "spans")
+    out = rows.mapInArrow(run, f"{head}, text string, spans {SPANS}")
+    out = out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), F.col("text").alias(text_col), "spans")
+    out._reads = (own,) if own is not None else ()
+    return out
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replace_entities(documents(spark, sf_dir))
+    out = replace_entities(documents(spark, sf_dir), key_of(spark))
     return out.select("doc_id", F.size("spans").cast("long").alias("n_entities"), "text", "spans")

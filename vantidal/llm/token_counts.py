@@ -7,8 +7,9 @@ crosses block boundaries is stitched by a scan over the blocks' summaries (separ
 first, position of the first), one small row a block: the open end of a block is closed by the first
 separator of the blocks after it, and the running number of separators numbers the documents.
 
-`write_token_files` writes such files through Spark's text writer, with the separator as line end: rows
-are ids as bytes, so tasks can fail and repeat and any store that Spark writes to will do.
+`write_token_files` writes such files through Spark's text writer, with the separator as line end: a row is a run of
+documents as bytes and becomes a file, so files are bounded in bytes, tasks can fail and repeat, and any store that Spark
+writes to will do.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import batches, documents
-from vantidal.session import shared_dir
+from vantidal.llm.common import batches, bounded, documents
+from vantidal.session import delete_on_exit, shared_dir
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,7 @@ class Files:
     eod: int = 0
     header: int = 5  #: tokens before each document's own: its row id in digits of 15 bits, each with 1 added
     block: int = 1 << 20  #: bytes scanned at once
-    rows: int = 2_000_000  #: documents a file at most
+    bytes: int = 32 << 20  #: of a file, beside its last document
 
     @property
     def kind(self) -> str:
@@ -58,39 +59,67 @@ def _encoding(spec: bytes):
     return _encodings[spec]
 
 
-def id_digits(ids: np.ndarray, n: int) -> np.ndarray:
+#: Set in the last digit of a row without an id (64 bits of an id take four bits of the fifth digit).
+NO_ID = 1 << 14
+
+
+def id_digits(ids: np.ndarray, missing: np.ndarray, n: int) -> np.ndarray:
     """Whole numbers as n digits of 15 bits, with 1 added so that none is the separator."""
     u = ids.astype(np.int64).view(np.uint64)
     shifts = np.arange(n, dtype=np.uint64) * np.uint64(15)
-    return ((u[:, None] >> shifts) & np.uint64(0x7FFF)).astype(np.int64) + 1
+    out = ((u[:, None] >> shifts) & np.uint64(0x7FFF)).astype(np.int64) + 1
+    out[missing, -1] += NO_ID
+    return out
+
+
+def check_width(vocabulary: bytes, width: int) -> None:
+    """Refuse a vocabulary whose ids, with 1 added, don't fit the width."""
+    most = max((int(line.split()[1]) for line in vocabulary.splitlines() if line), default=0)
+    if most + 1 >= 1 << 8 * width:
+        raise ValueError(f"token {most} doesn't fit {width} bytes")
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, files: Files | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenise every row (a null text has no tokens) and write the flat files to `path`.
 
-    A null id is written as -1 (and an id of -1 reads as null). Rows may repeat. The vocabulary's size bounds what is sent to executors.
+    A null id is marked as such; an id that isn't a whole number counts as null. Rows may repeat. A file has `bytes` bytes
+    and its last document's at most. The vocabulary's size bounds what is sent to executors; its ids must fit the width.
     """
     f = files or Files()
     with open(vocabulary, "rb") as v:
-        sent = docs.sparkSession.sparkContext.broadcast(v.read())
+        spec = v.read()
+    check_width(spec, f.width)
+    sent = docs.sparkSession.sparkContext.broadcast(spec)
+    end = b"\0" * f.width
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(sent.value)
+        parts: list[bytes] = []
+        size = 0
+
+        def file() -> pa.RecordBatch:  # the writer adds the last separator
+            return pa.RecordBatch.from_arrays([pa.array([end.join(parts)], pa.binary())], ["tokens"])
+
         for batch, texts in batches(rows):
-            heads = id_digits(batch.column("id").to_numpy(), f.header)
-            out = []
+            ids = batch.column("id")
+            missing = ids.is_null().to_numpy(zero_copy_only=False)
+            heads = id_digits(ids.fill_null(0).to_numpy(), missing, f.header)
             for head, t in zip(heads, texts, strict=True):
-                ids = enc.encode_to_numpy(t.decode("utf-8", "replace"), disallowed_special=()) if t else np.empty(0, np.int64)
-                out.append(np.concatenate([head, ids.astype(np.int64) + 1]).astype(f.kind).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["tokens"])
-
-    picked = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).cast("string").alias("text"))
+                tokens = enc.encode_to_numpy(t.decode("utf-8", "replace"), disallowed_special=()) if t else np.empty(0, np.int64)
+                parts.append(np.concatenate([head, tokens.astype(np.int64) + 1]).astype(f.kind).tobytes())
+                size += len(parts[-1])
+                if size >= f.bytes:
+                    yield file()
+                    parts, size = [], 0
+        if parts:
+            yield file()
+
+    whole = F.col(id_col).try_cast("long")
+    picked = bounded(docs.select(whole.alias("id"), F.col(text_col).cast("string").alias("text")))
     rows = picked.mapInArrow(run, "tokens binary")
     # The text writer puts a string's bytes as they are, then the line end.
-    (
-        rows.select(F.col("tokens").cast("string").alias("value"))
-        .write.option("lineSep", "\0" * f.width).option("maxRecordsPerFile", f.rows).text(path)
-    )
+    rows.select(F.col("tokens").cast("string").alias("value")).write.option("lineSep", "\0" * f.width).option("maxRecordsPerFile", 1).text(path)
+    sent.destroy()
 
 
 def scan_token_files(spark: SparkSession, path: str, files: Files | None = None) -> DataFrame:
@@ -98,7 +127,8 @@ def scan_token_files(spark: SparkSession, path: str, files: Files | None = None)
     (with the header's) and its first `header` tokens.
 
     Tokens after a file's last separator are no document. Empty files and an empty folder give no rows. A file
-    whose size isn't a multiple of the token width is refused, and so is one over 2 GB (Spark reads files whole).
+    whose size isn't a multiple of the token width is refused, and so is one over 2 GB (Spark reads a file as a row;
+    `write_token_files` writes small ones).
     """
     f = files or Files()
     per = f.block // f.width
@@ -161,19 +191,22 @@ def scan_token_files(spark: SparkSession, path: str, files: Files | None = None)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, files: Files | None = None) -> DataFrame:
-    """doc_id and n_tokens for every row, by writing its token files and scanning them. Empty texts have 0 tokens."""
+    """doc_id and n_tokens for every row, by writing its token files and scanning them. Empty texts have 0 tokens.
+
+    Null ids stay null (and ids that aren't whole numbers become so); rows that repeat are counted each.
+    """
     f = files or Files()
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    delete_on_exit(spark, path)
     write_token_files(docs, path, vocabulary, f)
     found = scan_token_files(spark, path, f)
-    digits = [F.shiftleft((F.get("head", F.lit(i)) - 1).cast("long"), 15 * i) for i in range(f.header)]
-    doc_id = digits[0]
-    for d in digits[1:]:
-        doc_id = doc_id.bitwiseOR(d)
-    return found.select(
-        F.when(doc_id != -1, doc_id).alias("doc_id"), (F.col("n_tokens") - f.header).alias("n_tokens")
-    )
+    digit = lambda i: (F.get("head", F.lit(i)) - 1).cast("long")
+    doc_id = digit(0)
+    for i in range(1, f.header):
+        doc_id = doc_id.bitwiseOR(F.shiftleft(digit(i).bitwiseAND(F.lit(NO_ID - 1)) if i == f.header - 1 else digit(i), 15 * i))
+    there = digit(f.header - 1) < NO_ID
+    return found.select(F.when(there, doc_id).alias("doc_id"), (F.col("n_tokens") - f.header).alias("n_tokens"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
