@@ -6,9 +6,9 @@ every segment all codes within segments * (r + 1) - 1 bits have been met (some s
 most, or the distance would be segments * (r + 1)). The search ends when the kth verified distance is
 within that bound, so the answer is exact.
 
-Every row is indexed: each task takes its rows in blocks, builds the tables of a block and searches them,
-keeping the best k of all its blocks, so that later blocks stop at a smaller radius. Queries are sent in
-blocks of bounded size. Tasks return k rows a query, which are merged.
+Every row is indexed: rows are dealt by the hash of their id to blocks of bounded size, and every query goes to every block
+as a row of the same shuffle, so one plan holds any number of both and the driver holds none. A task builds a block's
+tables, searches them for the queries that follow, and returns k rows a query, which are merged.
 """
 
 from __future__ import annotations
@@ -32,16 +32,17 @@ class Search:
 
     k: int = 10
     segments: int = 4
-    queries: int = 8192  #: sent at once: 128 kB
-    rows: int = 65536  #: indexed at once by a task
+    rows: int = 1 << 20  #: of a block, about: 70 MB with its tables
 
 
 def sign_code(vector: Column) -> Column:
-    """64 bits, one a dimension: set where the value is above 0. Null for null vectors; values beyond 64 aren't used."""
+    """64 bits, one a dimension: set where the value is above 0. Null for null vectors; a longer vector is refused."""
     signed = [1 << i if i < 63 else -(1 << 63) for i in range(BITS)]
     masks_ = F.array(*(F.lit(m).cast("long") for m in signed))
     bits = F.transform(masks_, lambda m, i: F.when(F.get(vector, i) > 0, m).otherwise(F.lit(0).cast("long")))
-    return F.when(vector.isNotNull(), F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    too_long = F.raise_error(F.lit(f"a vector has more than {BITS} dimensions")).cast("long")
+    return F.when(vector.isNotNull(), F.when(F.size(vector) > BITS, too_long).otherwise(code))
 
 
 @lru_cache(maxsize=256)
@@ -97,69 +98,51 @@ def search(index: Index, ids: np.ndarray, code: np.uint64, best: tuple[np.ndarra
     return dist, names
 
 
-def _blocks(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, codes, held = [], [], 0
-    for batch in rows:
-        ids.append(batch.column("id").to_numpy())
-        codes.append(batch.column("code").to_numpy().view(np.uint64))
-        held += batch.num_rows
-        if held >= most:
-            yield np.concatenate(ids), np.concatenate(codes)
-            ids, codes, held = [], [], 0
-    if held:
-        yield np.concatenate(ids), np.concatenate(codes)
-
-
 def top_k(rows: DataFrame, queries: DataFrame, search_: Search | None = None) -> DataFrame:
     """query_id, rank (from 1), id, distance: the k rows of least (distance, id) for each query.
 
-    `rows` and `queries` have id (whole numbers) and code (64 bits); a query that is itself a row finds
-    itself. Rows with a null id or code are left out, as are such queries. Fewer than k rows give fewer.
+    `rows` and `queries` have id (whole numbers; others count as null) and code (64 bits); a query that is itself a row
+    finds itself. Rows with a null id or code are left out, as are such queries. Fewer than k rows give fewer.
     Repeated rows count once; an id with several codes counts once for each of its distances.
     """
     p = search_ or Search()
-    spark = rows.sparkSession
-    rows = rows.select(F.col("id").cast("long"), F.col("code").cast("long")).filter("id IS NOT NULL AND code IS NOT NULL")
-    queries = queries.select(F.col("id").cast("long"), F.col("code").cast("long")).filter("id IS NOT NULL AND code IS NOT NULL")
-    schema = "query_id bigint, query_code bigint, id bigint, distance bigint"
-
-    def block(sent) -> DataFrame:
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q_ids, q_codes = sent.value
-            best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(q_ids)
-            for ids, codes in _blocks(it, p.rows):
-                both = np.unique(np.stack([ids, codes.view(np.int64)]), axis=1)  # a repeated row counts once
-                ids, codes = both[0], both[1].view(np.uint64)
-                index = Index(codes, p.segments)
-                best = [search(index, ids, c, b, p.k) for c, b in zip(q_codes, best, strict=True)]
-            n = np.array([len(d) for d, _ in best], np.int64)
-            if n.sum():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, n)), pa.array(np.repeat(q_codes.view(np.int64), n)),
-                     pa.array(np.concatenate([x for _, x in best])), pa.array(np.concatenate([d for d, _ in best]))],
-                    ["query_id", "query_code", "id", "distance"],
-                )
-
-        return rows.mapInArrow(run, schema)
-
-    # The queries come to the driver a block at a time, in order of their ids: bounded by `p.queries`.
-    found, last = None, None
-    queries = queries.distinct()
-    while True:
-        rest = queries if last is None else queries.filter((F.col("id") > last[0]) | ((F.col("id") == last[0]) & (F.col("code") > last[1])))
-        some = rest.orderBy("id", "code").limit(p.queries).collect()
-        if not some:
-            break
-        last = (some[-1].id, some[-1].code)
-        sent = spark.sparkContext.broadcast((np.array([r.id for r in some], np.int64), np.array([r.code for r in some], np.int64).view(np.uint64)))
-        found = block(sent) if found is None else found.union(block(sent))
-        if len(some) < p.queries:
-            break
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank bigint, id bigint, distance bigint")
+    whole = lambda df: df.select(F.col("id").try_cast("long").alias("id"), F.col("code").cast("long")).filter("id IS NOT NULL AND code IS NOT NULL")
+    rows, queries = whole(rows), whole(queries).distinct()
+    blocks = max(-(-rows.count() // p.rows), rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("side"), "id", "code")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "id", "code")
+    both = dealt.union(asked).repartitionByRange(blocks, "block").sortWithinPartitions("block", "side")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, index, names = None, [], None, None
+        nothing = (np.empty(0, np.int64), np.empty(0, np.int64))
+        for batch in it:
+            numbers = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("block", "side", "id", "code")])
+            cuts = np.flatnonzero((numbers[0, 1:] != numbers[0, :-1]) | (numbers[1, 1:] != numbers[1, :-1])) + 1
+            for part in np.split(numbers, cuts, axis=1):
+                if part[0, 0] != key:
+                    key, held, index = part[0, 0], [], None
+                if part[1, 0] == 0:
+                    held.append(part[2:])
+                    continue
+                if index is None and held:
+                    own = np.unique(np.concatenate(held, axis=1), axis=1)  # a repeated row counts once
+                    names, index, held = own[0], Index(own[1].view(np.uint64), p.segments), []
+                if index is None:
+                    continue
+                for at in range(0, part.shape[1], 1024):
+                    q = part[2:, at : at + 1024]
+                    best = [search(index, names, c, nothing, p.k) for c in q[1].view(np.uint64)]
+                    n = np.array([len(d) for d, _ in best], np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(q[0], n)), pa.array(np.repeat(q[1], n)), pa.array(np.concatenate([x for _, x in best])),
+                         pa.array(np.concatenate([d for d, _ in best]))], ["query_id", "query_code", "id", "distance"],
+                    )
+
+    found = both.mapInArrow(run, "query_id bigint, query_code bigint, id bigint, distance bigint")
     w = Window.partitionBy("query_id", "query_code").orderBy("distance", "id")
     return (
-        found.dropDuplicates().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= p.k)
+        found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= p.k)
         .select("query_id", F.col("rank").cast("long").alias("rank"), "id", "distance")
     )
 

@@ -1,8 +1,8 @@
 """Language ID with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram's vector binds its letters: the first shifted
-twice, the second once, the third as it is, multiplied. A document's profile bundles (adds up) its
-trigrams' vectors; a language's prototype adds up the unit profiles of its training documents. Profiles
+Every letter of every script has a random vector of +1 and -1 of its own, drawn from its code point. A trigram's vector binds
+its letters: the first shifted twice, the second once, the third as it is, multiplied. A document's profile bundles (adds up)
+its trigrams' vectors; a language's prototype adds up the unit profiles of its training documents. Profiles
 are compared with prototypes by cosine.
 
 Bundling is linear, so a profile is the trigram counts times the matrix of trigram vectors.
@@ -18,13 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vantidal.llm.common import batches, documents, is_held_out, mix
+from vantidal.llm.common import batches, bounded, documents, is_held_out, mix, runs
 
-#: Classes of letters: a blank, a to z, and others by hash.
-OTHERS = 37
-LETTERS = 1 + 26 + OTHERS
-#: Trigram vectors that a worker remembers.
-REMEMBERED = 1 << 16
+#: Letters whose vectors a worker remembers (1 kB each); beyond this it starts anew.
+REMEMBERED = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -36,41 +33,36 @@ class Profiles:
     sharpness: float = 24.0  #: cosines are multiplied by this for the softmax that gives the score
 
 
-def letter_table() -> np.ndarray:
-    """The class of each code point of the basic plane; -1 for what isn't a letter."""
-    out = np.full(0x10000, -1, np.int16)
-    for c in range(0x10000):
-        s = chr(c)
-        if s.isalpha():
-            low = s.lower()
-            c2 = ord(low) if len(low) == 1 else c
-            out[c] = 1 + c2 - 97 if 97 <= c2 <= 122 else 27 + (c2 * 2654435761 >> 7) % OTHERS
+_letters: list[np.ndarray] = []
+
+
+def is_letter(points: np.ndarray) -> np.ndarray:
+    """Which code points are letters."""
+    if not _letters:  # of the basic plane, once a worker
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x10000)), bool, 0x10000))
+    out = _letters[0][np.minimum(points, 0xFFFF)]
+    beyond = points > 0xFFFF
+    if beyond.any():
+        seen, at = np.unique(points[beyond], return_inverse=True)
+        out[beyond] = np.fromiter((chr(c).isalpha() for c in seen.tolist()), bool, len(seen))[at]
     return out
 
 
-_table: list[np.ndarray] = []
+#: Bits of a code point within a trigram's code; a blank is 0.
+POINT = 21
 
 
 def trigrams(text: bytes) -> tuple[np.ndarray, bool]:
-    """The trigram codes of a text's words, each word between blanks, and whether it has a letter."""
-    if not _table:
-        _table.append(letter_table())
-    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    basic = np.minimum(points, 0xFFFF)
-    k = _table[0][basic]
-    beyond = points > 0xFFFF
-    if beyond.any():  # letters beyond the basic plane
-        for i in np.flatnonzero(beyond).tolist():
-            k[i] = 27 + (int(points[i]) * 2654435761 >> 7) % OTHERS if chr(points[i]).isalpha() else -1
-    letters = k >= 0
+    """The trigram codes of a text's words in lower case, each word between blanks, and whether it has a letter."""
+    points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
+    letters = is_letter(points)
     if not letters.any():
         return np.empty(0, np.int64), False
     # One blank between words: of what isn't a letter keep the first of each run.
-    k = np.where(letters, k, 0)
     keep = letters.copy()
     keep[1:] |= letters[:-1]
-    k = np.concatenate([[0], k[keep], [0]]).astype(np.int64)
-    codes = (k[:-2] * LETTERS + k[1:-1]) * LETTERS + k[2:]
+    k = np.concatenate([[0], np.where(letters, points, 0)[keep], [0]]).astype(np.int64)
+    codes = k[:-2] << 2 * POINT | k[1:-1] << POINT | k[2:]
     return codes[k[1:-1] > 0], True  # the middle one is a letter
 
 
@@ -78,33 +70,49 @@ class Space:
     """Letter and trigram vectors of one seed."""
 
     def __init__(self, p: Profiles):
-        draws = mix((np.uint64(p.seed) << np.uint64(32)) + np.arange(LETTERS * p.size, dtype=np.uint64))
-        base = np.where(draws >> np.uint64(63), 1, -1).astype(np.int8).reshape(LETTERS, p.size)
-        self.third, self.second, self.first = base, np.roll(base, 1, axis=1), np.roll(base, 2, axis=1)
-        self.size = p.size
-        self.at: dict[int, int] = {}
-        self.rows = np.empty((0, p.size), np.int8)
-
-    def vectors(self, codes: np.ndarray) -> np.ndarray:
-        a, rest = np.divmod(codes, LETTERS * LETTERS)
-        b, c = np.divmod(rest, LETTERS)
-        return self.first[a] * self.second[b] * self.third[c]
+        self.size, self.seed = p.size, p.seed
+        self.known = np.empty(0, np.int64)  # code points in order
+        self.third = self.second = self.first = np.empty((0, p.size), np.int8)  # their vectors, as they are and shifted
+
+    def draw(self, points: np.ndarray) -> np.ndarray:
+        """The vectors of code points: a row each, from the point and the seed alone."""
+        cells = points.astype(np.uint64)[:, None] * np.uint64(self.size) + np.arange(self.size, dtype=np.uint64)
+        draws = mix((np.uint64(self.seed) << np.uint64(32)) + cells)
+        return np.where(draws >> np.uint64(63), 1, -1).astype(np.int8)
+
+    def places(self, points: np.ndarray) -> np.ndarray:
+        """The rows of the code points in the tables; new ones are drawn."""
+        new = np.setdiff1d(points, self.known)
+        if len(new):
+            known, rows = (self.known, self.third) if len(self.known) + len(new) <= REMEMBERED else (self.known[:0], self.third[:0])
+            if not len(known):
+                new = np.unique(points)
+            order = np.argsort(both := np.concatenate([known, new]), kind="stable")
+            self.known, self.third = both[order], np.concatenate([rows, self.draw(new)])[order]
+            self.second, self.first = np.roll(self.third, 1, axis=1), np.roll(self.third, 2, axis=1)
+        return np.searchsorted(self.known, points)
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The sum of the trigrams' vectors times their counts."""
         out = np.zeros(self.size, np.float64)
+        low = (1 << POINT) - 1
         for s in range(0, len(codes), 4096):
-            out += counts[s : s + 4096].astype(np.float32) @ self.vectors(codes[s : s + 4096]).astype(np.float32)
+            c = codes[s : s + 4096]
+            at = self.places(np.concatenate([c >> 2 * POINT, c >> POINT & low, c & low])).reshape(3, -1)
+            bound = self.first[at[0]] * self.second[at[1]] * self.third[at[2]]
+            out += counts[s : s + 4096].astype(np.float32) @ bound.astype(np.float32)
         return out
 
     def profile(self, text: bytes | None) -> np.ndarray | None:
-        """The unit profile; None without a letter."""
-        codes, any_letter = trigrams(text) if text else (None, False)
-        if not any_letter:
-            return None
-        seen, counts = np.unique(codes, return_counts=True)
-        v = self.bundle(seen, counts)
-        return v / (np.linalg.norm(v) or 1.0)
+        """The unit profile; None without a letter. A very long text is read in runs, whose profiles add up."""
+        total = None
+        for run in runs(text) if text else ():
+            codes, any_letter = trigrams(run)
+            if any_letter:
+                seen, counts = np.unique(codes, return_counts=True)
+                v = self.bundle(seen, counts)
+                total = v if total is None else total + v
+        return None if total is None else total / (np.linalg.norm(total) or 1.0)
 
 
 _spaces: dict[Profiles, Space] = {}
@@ -141,7 +149,7 @@ def learn_prototypes(docs: DataFrame, p: Profiles, text_col: str = "text", lang_
                 [pa.array(list(sums), pa.string()), pa.array(cells, pa.list_(pa.int64()))], ["lang", "v"]
             )
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = bounded(docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")))
     parts = rows.filter("lang IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "lang string, v array<bigint>")
     total = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     packed = total.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v"))
@@ -190,7 +198,7 @@ def identify(
 
     kinds = dict(docs.dtypes)
     head = ", ".join(f"`{c}` {kinds[c]}" for c in (id_col, *keep))
-    picked = docs.select(id_col, *keep, F.col(text_col).cast("string").alias("text"))
+    picked = bounded(docs.select(id_col, *keep, F.col(text_col).cast("string").alias("text")))
     return picked.mapInArrow(run, f"{head}, lang_pred string, score double")
 
 

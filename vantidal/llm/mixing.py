@@ -4,8 +4,9 @@ A classifier that learned domains from a labelled table gives each document the
 domain. A document with rate r then adds r times its tokens times its posteriors to the domains' expected
 totals. Rates are the nonnegative least-squares fit of those totals to the targets, starting from 1:
 accelerated projected gradient steps, in which the gradient of every document is its posteriors times the
-domains' residuals. An iteration is one pass that adds up a number for each domain; a document's rate
-follows from its posteriors and the short list of residuals, so no state is kept for it.
+domains' residuals. A document's rate follows from its posteriors and the short list of residuals, so no state is kept for
+it, and documents with the same (rounded) posteriors have the same rate: their tokens are added up once, and an iteration is
+a pass over these sums that adds up a number for each domain.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as xxh3
 
-from vantidal.llm.common import Words, batches, documents, runs
-from vantidal.session import through_store
+from vantidal.llm.common import Words, batches, bounded, documents, give_back, runs
+from vantidal.session import forget, through_store
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ class Mix:
     seed: int = 11
     steps: int = 60
     close: float = 1e-4  #: the fit ends when each domain is within this share of all tokens
-    band: float = 0.1  #: rates this close to 1 copy a document once
+    grain: int = 1000  #: posteriors are rounded to whole parts of it
 
 
 # --- Domains -----------------------------------------------------------------------------------
@@ -141,9 +142,9 @@ def fit_domains(cells_of: list[np.ndarray], y: np.ndarray, names: list[str], p:
         return x
 
     def ones(x: np.ndarray) -> np.ndarray:
-        return np.hstack([x, np.ones((len(x), 1))])  # doubles, converted once
+        return np.hstack([x, np.ones((len(x), 1), np.float32)])
 
-    x_all, x_back, target = matrix(fitted), matrix(back), np.eye(k)[y[fitted]]
+    x_all, x_back, target = matrix(fitted), matrix(back), np.eye(k, dtype=np.float32)[y[fitted]]
     grid = np.exp(np.linspace(np.log(0.25), np.log(8), 61))
 
     def fit(count: int) -> tuple[float, Domains]:
@@ -153,16 +154,16 @@ def fit_domains(cells_of: list[np.ndarray], y: np.ndarray, names: list[str], p:
         step = 4.0 / max(1.0, float(x.sum(axis=1).max()))
         for i in range(400):  # accelerated gradient on the log loss with weight decay
             at = w + i / (i + 3) * (w - v)
-            e = x @ at
+            e = x @ at.astype(np.float32)
             e = np.exp(e - e.max(axis=1, keepdims=True))
-            grad = x.T @ (e / e.sum(axis=1, keepdims=True) - target) / len(x)
+            grad = (x.T @ (e / e.sum(axis=1, keepdims=True) - target)).astype(np.float64) / len(x)
             grad[:-1] += p.decay * at[:-1]
             v, w = w, at - step * grad
         places = np.argsort(ranked[:count], kind="stable")
         out = Domains(names, ranked[:count][places], w[:-1][places], w[-1], 1.0)
         if len(back) < 10:
             return 0.0, out
-        raw = ones(x_back[:, :count]) @ w
+        raw = ones(x_back[:, :count]).astype(np.float64) @ w
 
         def loss(t: float) -> float:
             q = raw / t
@@ -182,7 +183,7 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, p: Mix, id_col: str = "d
     and the rows that come back are bounded. Null domains teach nothing; of several domains of an id the last counts."""
     y = labelled.select(F.col(id_col).alias("id"), F.col("domain").cast("string")).filter("id IS NOT NULL AND domain IS NOT NULL")
     y = y.groupBy("id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("id"), "id").limit(p.sample)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = bounded(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(rows):
@@ -196,10 +197,14 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, p: Mix, id_col: str = "d
 
     kind = dict(docs.dtypes)[id_col]
     sample = picked.join(F.broadcast(y), "id").select("id", "domain", "text").mapInArrow(run, f"id {kind}, domain string, cells binary")
-    rows = sorted(sample.collect(), key=lambda r: (r.id, r.domain, r.cells))
-    names = sorted({r.domain for r in rows}) or ["all"]
+    table = sample.toArrow()  # p.sample rows at most
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "domain", "cells")), strict=True))
+    del table
+    names = sorted({d for _, d, _ in rows}) or ["all"]
     at = {d: i for i, d in enumerate(names)}
-    return fit_domains([np.frombuffer(r.cells, np.int32) for r in rows], np.array([at[r.domain] for r in rows], np.int64), names, p)
+    out = fit_domains([np.frombuffer(c, np.int32) for _, _, c in rows], np.array([at[d] for _, d, _ in rows], np.int64), names, p)
+    give_back()
+    return out
 
 
 # --- Rates -------------------------------------------------------------------------------------
@@ -219,13 +224,14 @@ def rates_of(post: np.ndarray, history: list[np.ndarray]) -> tuple[np.ndarray, n
     return rate, point
 
 
-def _post(batch: pa.RecordBatch, k: int) -> np.ndarray:
+def _post(batch: pa.RecordBatch, k: int, grain: int) -> np.ndarray:
     raw = b"".join(batch.column("post").to_pylist())
-    return np.frombuffer(raw, np.float32).reshape(batch.num_rows, k).astype(np.float64)
+    return np.frombuffer(raw, np.uint16).reshape(batch.num_rows, k) / grain
 
 
 def fit_rates(members: DataFrame, targets: np.ndarray, p: Mix) -> tuple[list[np.ndarray], dict]:
-    """The moves whose steps give the rates, from rows (tokens, post). Targets are shares of all tokens.
+    """The moves whose steps give the rates, from rows (tokens, post): one for each posterior, with its tokens' sum.
+    Targets are shares of all tokens.
 
     Tokens weigh the squared change of a document's rate, so rates depend on posteriors alone and long
     documents aren't preferred. The step is the inverse of the largest eigenvalue of the domains' token-weighted
@@ -237,7 +243,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, p: Mix) -> tuple[list[np.
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, second, tokens = np.zeros(k), np.zeros((k, k)), 0
             for batch in rows:
-                post, w = _post(batch, k), batch.column("tokens").to_numpy().astype(np.float64)
+                post, w = _post(batch, k, p.grain), batch.column("tokens").to_numpy().astype(np.float64)
                 total += (w * rates_of(post, history)[1]) @ post
                 if moments:
                     second += (post * w[:, None]).T @ post
@@ -277,7 +283,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], p: Mix
     expected tokens. The whole is scaled so that the domain with the largest weight keeps its tokens. Tokens are
     words of the whole text; null and empty texts have none, add nothing to any total, and get the rate
     that their posteriors (the domains' shares) give. `copies` is the rate rounded by the hash of id and text: the rate's
-    whole part, and one more with the fraction's probability; rates within `p.band` of 1 give one copy.
+    whole part, and one more with the fraction's probability, so copies have the rate as their expectation. Rows that
+    repeat an id and null ids get what their own text says; equal rows get equal copies.
     """
     p = p or Mix()
     domains = learn_domains(docs, labelled, p, id_col, text_col)
@@ -286,30 +293,31 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], p: Mix
     names = [id_col, *keep]
     kinds = dict(docs.dtypes)
     head = ", ".join(f"c{i} {kinds[c]}" for i, c in enumerate(names))
-    picked = docs.select(
+    picked = bounded(docs.select(
         *(F.col(c).alias(f"c{i}") for i, c in enumerate(names)),
         F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"), F.col(text_col).cast("string").alias("text"),
-    )
+    ))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = sent.value.reader(p)
         for batch, texts in batches(rows):
             post, counts = reader.posteriors(texts)
-            packed = pa.array([r.tobytes() for r in np.round(post, 5).astype(np.float32)], pa.binary())
+            packed = pa.array([r.tobytes() for r in np.round(post * p.grain).astype(np.uint16)], pa.binary())
             cols = [batch.column(i) for i in range(len(names) + 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(counts), packed], [*batch.schema.names[:-1], "tokens", "post"])
 
-    members = through_store(picked.mapInArrow(run, f"{head}, draw bigint, tokens bigint, post binary"), "members")
+    members = through_store(picked.mapInArrow(run, f"{head}, draw bigint, tokens bigint, post binary"), "mixed")
+    groups = through_store(members.groupBy("post").agg(F.sum("tokens").alias("tokens")), "posteriors")
 
     # Targets: shares of all tokens, in the scale in which the heaviest named domain keeps its own.
     def totals(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(k)
         for batch in rows:
-            out += batch.column("tokens").to_numpy().astype(np.float64) @ _post(batch, k)
+            out += batch.column("tokens").to_numpy().astype(np.float64) @ _post(batch, k, p.grain)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(out)], ["cell", "x"])
 
     now = np.zeros(k)
-    for r in members.select("tokens", "post").mapInArrow(totals, "cell bigint, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect():
+    for r in groups.mapInArrow(totals, "cell bigint, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect():
         now[r.cell] = r.x
     now /= max(now.sum(), 1.0)
     targets = now.copy()
@@ -319,15 +327,16 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], p: Mix
         unit = now[top] / max(weights[domains.names[top]], 1e-12)
         for i in named:
             targets[i] = weights[domains.names[i]] * unit
-    history, _ = fit_rates(members, targets, p)
+    history, _ = fit_rates(groups, targets, p)
+    forget(groups)
     labels = domains.names
 
     def rate(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            post = _post(batch, k)
+            post = _post(batch, k, p.grain)
             r = np.round(rates_of(post, history)[0], 6)
             u = (batch.column("draw").to_numpy().view(np.uint64) >> np.uint64(11)).astype(np.float64) / 2**53
-            copies = np.where(np.abs(r - 1) <= p.band, 1, np.floor(r + u)).astype(np.int64)
+            copies = np.floor(r + u).astype(np.int64)
             cols = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(
                 [*cols, batch.column("tokens"), pa.array([labels[i] for i in post.argmax(axis=1)], pa.string()),
@@ -336,12 +345,16 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], p: Mix
             )
 
     out = members.mapInArrow(rate, f"{head}, tokens bigint, domain string, post array<double>, rate double, copies bigint")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "tokens", "domain", "post", "rate", "copies")
+    out = out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "tokens", "domain", "post", "rate", "copies")
+    out._reads = (members,)
+    return out
 
 
-#: Domains of the registered query and the pipeline: what the labelled table says of a document's tone. The
-#: corpus shall keep its clean text and hold a fiftieth of that in toxic text.
-TARGETS = {"clean": 1.0, "toxic": 0.02}
+#: The pipeline's domains: what the labelled table says of a document's tone. The corpus shall keep its clean text and hold
+#: a five-hundredth of that in toxic text.
+TARGETS = {"clean": 1.0, "toxic": 0.002}
+#: The registered query's domains: the languages of clean documents, and toxic ones of any language.
+LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1, "toxic": 0.01}
 
 
 def tones(labels: DataFrame) -> DataFrame:
@@ -349,6 +362,14 @@ def tones(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL")
 
 
+def languages(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of labelled documents the language, or `toxic`; without both none."""
+    known = labels.select("doc_id", "toxic").join(docs.select("doc_id", "lang"), "doc_id")
+    domain = F.when(F.col("toxic") == 1, F.lit("toxic")).when(F.col("toxic") == 0, F.col("lang"))
+    return known.select("doc_id", domain.alias("domain")).filter("domain IS NOT NULL")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(documents(spark, sf_dir), tones(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
-    return out.select("doc_id", "tokens", "domain", F.get("post", F.lit(1)).alias("p_toxic"), "rate", "copies")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    out = mix(docs, languages(spark.read.parquet(f"{sf_dir}/labels.parquet"), docs), LANGUAGES)
+    return out.select("doc_id", "tokens", "domain", "post", "rate", "copies")

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vantidal.session import through_store
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Levels from the whole downwards.
@@ -66,12 +68,31 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: Labels below a country's that are suffixes too (co.uk, com.au, ...).
+SECOND = ("ac", "co", "com", "edu", "gob", "gov", "go", "ltd", "ne", "net", "nom", "or", "org", "plc", "sch")
+
+
+def _name(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(host, "^.*@|:[0-9]*$", "")
+
+
+def _compound(name: Column) -> Column:
+    two = F.substring_index(name, ".", -2)
+    country = F.length(F.substring_index(name, ".", -1)) == 2
+    return country & F.substring_index(two, ".", 1).isin(*SECOND) & (F.substring_index(name, ".", -3) != two)
+
+
 def registered_domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """The suffix and the label before it; the whole name if it has no more."""
+    name = _name(host)
+    return F.when(_compound(name), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The last label, or the last two where a country's second level is a suffix and something stands before it."""
+    name = _name(host)
+    return F.when(_compound(name), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
@@ -127,6 +148,7 @@ def host_reputation(outcomes: DataFrame, shrinkage: Shrinkage | None = None) ->
         .withColumn("domain", registered_domain(F.col("host")))
         .withColumn("suffix", suffix(F.col("host")))
     )
+    hosts = through_store(hosts, "hosts")  # the pages are read once for all levels
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # Each prior is a single row: three numbers a level go to the driver and back as literals.
@@ -203,11 +225,11 @@ ruled AS (
 judged AS (
   SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruling FROM ruled),
 hosts AS (
-  SELECT host, list_extract(string_split(host, '.'), -1) AS suffix,
-         CASE WHEN host LIKE '%.%' THEN list_extract(string_split(host, '.'), -2) || '.' || list_extract(string_split(host, '.'), -1)
-              ELSE host END AS domain,
-         count(ruling) AS n, count(*) FILTER (WHERE ruling = 'block') AS bad
-  FROM judged GROUP BY host),
+  SELECT host, n, bad, CASE WHEN compound THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS suffix,
+         CASE WHEN compound THEN l[-3] || '.' || l[-2] || '.' || l[-1] WHEN len(l) > 1 THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS domain
+  FROM (SELECT *, len(l) > 2 AND length(l[-1]) = 2 AND list_contains({list(SECOND)}, l[-2]) AS compound
+        FROM (SELECT host, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS l,
+                     count(ruling) AS n, count(*) FILTER (WHERE ruling = 'block') AS bad FROM judged GROUP BY host))),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 {_level_sql("suffix")},{_level_sql("domain")},{_level_sql("host")},
