@@ -28,6 +28,56 @@ REFUSED = {
 }
 
 
+#: What must not get through, by the guard alone or after rewriting.
+ATTACKS = [
+    "SELECT IDENTIFIER('java_method')('java.lang.System', 'getProperty', 'user.home') FROM a", "SELECT IDENTIFIER('version')() FROM a", "SELECT * FROM IDENTIFIER('a')",
+    "SELECT current_user FROM a", "SELECT session_user FROM a", "SELECT user FROM a", "SELECT `user` FROM a", "SELECT current_catalog FROM a", "SELECT current_database() FROM a",
+    "SELECT current_schema FROM a", "SELECT CURRENT_USER() FROM a", "SELECT x FROM a ORDER BY current_user", "SELECT x FROM a WHERE y = user", "SELECT max(session_user) FROM a GROUP BY current_user",
+    "FROM a |> SELECT x", "FROM a |> WHERE x > 1 |> AGGREGATE count(*) GROUP BY x", "SELECT version()", "SELECT java_method('java.lang.Runtime', 'getRuntime')", "SELECT reflect('a', 'b')",
+    "SELECT try_reflect('a', 'b')", "SELECT `java_method`('a', 'b')", "SELECT system.builtin.java_method('a', 'b')", "SELECT builtin.reflect('a', 'b')", "SELECT spark_catalog.default.f(x) FROM a",
+    "SELECT JAVA_METHOD('a', 'b')", "SELECT java_method ('a', 'b')", "SELECT java_method/* */('a', 'b')", "SELECT transform(array(1), q -> java_method('a', 'b'))",
+    "SELECT CASE WHEN reflect('a', 'b') = 'c' THEN 1 END", "SELECT count(*) FILTER (WHERE reflect('a', 'b') = 'c') FROM a", "SELECT sum(x) OVER (ORDER BY reflect('a', 'b')) FROM a",
+    "SELECT sum(x) OVER w FROM a WINDOW w AS (ORDER BY reflect('a', 'b'))", "SELECT x FROM a GROUP BY reflect('a', 'b')", "SELECT x FROM a HAVING reflect('a', 'b') = 'c'",
+    "SELECT x FROM a LIMIT java_method('a', 'b')", "SELECT x FROM a JOIN b ON reflect('a', 'b') = 'c'", "SELECT * FROM (SELECT reflect('a', 'b')) q", "WITH q AS (SELECT reflect('a', 'b')) SELECT * FROM q",
+    "SELECT x FROM a, LATERAL (SELECT reflect('a', 'b')) q", "SELECT * FROM (VALUES (reflect('a', 'b'))) t(x)", "SELECT explode(array(reflect('a', 'b')))", "SELECT * FROM explode(array(reflect('a', 'b')))",
+    "SELECT x FROM a LATERAL VIEW explode(array(reflect('a', 'b'))) e AS q", "SELECT * FROM a LATERAL VIEW java_method('a', 'b') t AS c", "SELECT input_file_name()", "SELECT input_file_block_start() FROM a",
+    "SELECT spark_partition_id() FROM a", "SELECT monotonically_increasing_id() FROM a", "SELECT raise_error('x')", "SELECT assert_true(false)", "SELECT uuid()", "SELECT aes_encrypt('a', 'b')",
+    "SELECT from_avro(x, 'y') FROM a", "SELECT getenv('HOME')", "SELECT current_setting('x')", "SELECT pragma_version()", "SELECT duckdb_settings()", "SELECT * FROM duckdb_tables()",
+    "SELECT * FROM read_csv('/etc/passwd')", "SELECT * FROM read_parquet('/x')", "SELECT * FROM read_files('/x')", "SELECT * FROM glob('/*')", "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM text.`/etc/passwd`",
+    "SELECT * FROM delta.`/x`", "SELECT * FROM '/etc/passwd'", "SELECT * FROM \"/etc/passwd\"", "SELECT * FROM information_schema.tables", "SELECT * FROM default.a", "SELECT * FROM global_temp.a",
+    "SELECT * FROM a VERSION AS OF 1", "SELECT * FROM a TIMESTAMP AS OF '2024-01-01'", "SELECT * FROM other", "SELECT (SELECT max(y) FROM other) FROM a", "SELECT x FROM a WHERE x IN (SELECT y FROM other)",
+    "WITH q AS (SELECT * FROM other) SELECT 1", "SELECT * FROM a UNION SELECT * FROM other", "SELECT * FROM python_worker_logs()", "SELECT :p FROM a", "SELECT ? FROM a",
+    "DROP TABLE a", "DELETE FROM a", "UPDATE a SET x = 1", "INSERT INTO a VALUES (1)", "INSERT OVERWRITE a VALUES (1)", "MERGE INTO a USING b ON a.x = b.x WHEN MATCHED THEN DELETE", "TRUNCATE TABLE a",
+    "CREATE TABLE z AS SELECT 1", "CREATE VIEW z AS SELECT 1", "CREATE TEMPORARY FUNCTION f() RETURNS INT RETURN 1", "CREATE FUNCTION f AS 'x.Y' USING JAR '/x.jar'", "ALTER TABLE a RENAME TO b",
+    "SET x = 1", "SET VAR x = 1", "RESET", "USE other", "SHOW TABLES", "SHOW FUNCTIONS", "DESCRIBE a", "DESCRIBE FUNCTION abs", "EXPLAIN SELECT 1", "EXPLAIN EXTENDED SELECT 1", "CACHE TABLE a", "UNCACHE TABLE a",
+    "REFRESH TABLE a", "ANALYZE TABLE a COMPUTE STATISTICS", "ADD JAR '/x.jar'", "ADD FILE '/x'", "LIST JARS", "LOAD DATA INPATH '/x' INTO TABLE a", "EXPORT TABLE a TO '/x'", "CALL p()", "EXECUTE IMMEDIATE 'SELECT 1'",
+    "DECLARE VARIABLE v INT", "BEGIN SELECT 1; END", "COMMENT ON TABLE a IS 'x'", "MSCK REPAIR TABLE a", "GRANT SELECT ON a TO u", "FROM a INSERT INTO b SELECT x", "COPY a TO '/x'", "ATTACH 'x' AS y", "PRAGMA version",
+    "INSTALL httpfs", "LOAD httpfs", "SELECT 1; DROP TABLE a", "SELECT 1;\nSELECT 2", "SELECT TRANSFORM(x) USING 'cat' AS (y) FROM a", "SELECT * FROM a PIVOT (max(y) FOR x IN (1))",
+    "SELECT * FROM a UNPIVOT (v FOR n IN (x, y))", "SELECT * FROM a POSITIONAL JOIN b", "SELECT ai_query('m', 'x')", "SELECT http_get('x')", "SELECT sleep(5)", "SELECT count(", "SELECT [1", "SELECT 'a", "SELECT }",
+    "SELECT schema_of_json('1')", "SELECT bitmap_count(x) FROM a", "SELECT * FROM range(10) WHERE version() = 'x'", "SELECT x FROM a TABLESAMPLE (10 PERCENT) WHERE user = 'root'", "SELECT \"user\" FROM a",
+]
+
+
+@pytest.mark.parametrize("sql", ATTACKS)
+def test_attacks(spark, sql):
+    frames = {n: spark.createDataFrame([(1, 2)], "x int, y int") for n in ("a", "b")}
+    with pytest.raises(Refusal) as e:
+        guard.run(spark, sql, frames)
+    assert e.value.code.startswith("sql_")
+
+
+def test_a_column_called_user_is_read_by_its_table(spark):
+    a = spark.createDataFrame([("me",)], "user string")
+    assert guard.run(spark, "SELECT a.user AS u FROM a", {"a": a}).collect()[0].u == "me"
+
+
+def test_the_checked_plan_is_read_in_its_own_session(spark):
+    """Double quotes are names for the check as for the run, whatever the caller's session says."""
+    a = spark.createDataFrame([(1, "q")], "x int, s string")
+    assert guard.run(spark, 'SELECT "x", s FROM a WHERE "s" = \'q\'', {"a": a}).collect() == [(1, "q")]
+    assert spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers") == "false"
+
+
 @pytest.mark.parametrize("sql", ALLOWED)
 def test_allowed(spark, sql):
     assert guard.check(spark, sql, {"a", "b"}).sql
@@ -54,6 +104,7 @@ def test_run(spark):
     assert e.value.code == "sql_error" and "column" in (e.value.hint or "")
     with pytest.raises(Refusal):
         run("SELECT * FROM b")
+    assert len(guard.run(spark, "SELECT * FROM a", {"a": a}, None).collect()) == 10
 
 
 def test_text_in_quotes_is_left_alone(spark):

@@ -588,7 +588,7 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Guarded SQL ---------------------------------------------------------------------------------
 
 
-def guarded(name: str, sql: str, oracle: str, tables: tuple[str, ...], most: int = 10_000_000) -> None:
+def guarded(name: str, sql: str, oracle: str, tables: tuple[str, ...], most: int | None = None) -> None:
     """A statement that goes through the guard over named tables."""
 
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -652,4 +652,4 @@ _CLICKS = "SELECT event_id, ts, user_id FROM events WHERE event_type = 'click'"
 def sql_asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = sides(spark, sf_dir)
     sql = "SELECT l.event_id, l.ts, l.user_id, r.seen, r.value FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.seen"
-    return guard.run(spark, sql, {"l": left, "r": right}, 10_000_000)
+    return guard.run(spark, sql, {"l": left, "r": right}, None)

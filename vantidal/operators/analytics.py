@@ -2,7 +2,9 @@
 
 All operators take tables of any size: the order within a series comes from window functions, so one
 series is one window partition and series spread over the cluster; what is looked up for each series
-(a trough, a benchmark) is joined, and adaptive execution broadcasts it where it is small.
+(a trough, a benchmark) is joined, and adaptive execution broadcasts it where it is small. A series that is too long for
+a task is cut by time (`Series.spread`; a table without a series column by itself): pieces are scanned apart, and what one
+hands to the next comes from a table of a row a piece.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import types as T
 from vantidal.errors import Refusal
 from vantidal.functions.numeric import finite, ratio, safe_corr
 from vantidal.functions.timeframes import BAR_ZONE, check_target, default_periods_per_year, parts, seconds, time_bucket
-from vantidal.operators.points import NUMERIC, Series, check_unique_times, single_timeframe
+from vantidal.operators.points import NUMERIC, Series, check_unique_times, in_blocks, once, piece, single_timeframe, spread_of, with_before
+from vantidal.session import through_store
 
 WINDOW_LEAST, WINDOW_MOST = 2, 2520
 SERIES_MOST = 50
@@ -45,10 +48,10 @@ def returns(inp: Series, kind: str = "simple", period: str | None = None, check:
     if period is not None and (tf := single_timeframe(inp.df)) and seconds(period) < seconds(tf):
         raise Refusal("mismatched_frequency", f"{period} is finer than the bars' {tf}.")
     points = inp.points(positive=True)
-    if check:
-        check_unique_times(points, inp.label)
-    w = Window.partitionBy("s").orderBy("ts")
-    before = sampled(points, period).withColumn("v0", F.lag("v").over(w)).filter("v0 IS NOT NULL")
+    if period is not None and check:
+        check_unique_times(points, inp.label)  # a bucket's last value hides repeated times
+    points = sampled(points, period)
+    before = with_before(points, spread_of(inp, points), inp.label).filter("t0 IS NOT NULL")
     return before.select(
         F.col("s").alias("series"), F.col("ts").alias("t"), _change(kind, F.col("v"), F.col("v0")).alias("ret"),
         F.lit(kind).alias("kind"), F.lit(period).cast("string").alias("period"),
@@ -58,18 +61,28 @@ def returns(inp: Series, kind: str = "simple", period: str | None = None, check:
 # --- Volatility --------------------------------------------------------------------------------
 
 
+def _median_count(counts: DataFrame) -> float:
+    """The median of n, from how often each number occurs: a day's returns have few numbers."""
+    rows = sorted((r.n, r.k) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect())
+    total, seen, middle = sum(k for _, k in rows), 0, []
+    for n, k in rows:
+        middle += [n for place in ((total - 1) // 2, total // 2) if seen <= place < seen + k]
+        seen += k
+    return sum(middle) / 2
+
+
 def observed_periods_per_year(rets: DataFrame, every_day: bool = False) -> float:
     """Counted from rows (series, t): the median day's returns times the days of a year, or the number a year
     over the time they span where they are more than a day apart."""
     w = Window.partitionBy("series").orderBy("t")
     gap = rets.select((F.unix_micros("t") - F.unix_micros(F.lag("t").over(w))).alias("gap")).filter("gap IS NOT NULL")
-    row = gap.agg(F.median("gap").alias("gap"), F.count("*").alias("n")).first()
+    row = gap.agg(F.percentile_approx("gap", 0.5).alias("gap"), F.count("*").alias("n")).first()
     if not row.n or row.n < 5:
         raise Refusal("periods_per_year_required", "There are too few returns to count them per year.", "Pass periods_per_year.")
     if row.gap / 1e6 <= 1.5 * 86_400:
         local = F.col("t") if every_day else F.from_utc_timestamp("t", BAR_ZONE)
         per_day = rets.groupBy("series", F.to_date(local).alias("d")).agg(F.count("*").alias("n"))
-        return (365 if every_day else 252) * float(per_day.agg(F.median("n")).first()[0])
+        return (365 if every_day else 252) * _median_count(per_day)
     spans = rets.groupBy("series").agg(
         (F.count("*") - 1).alias("k"), ((F.unix_micros(F.max("t")) - F.unix_micros(F.min("t"))) / 1e6).alias("span")
     )
@@ -81,17 +94,18 @@ def periods_per_year(inp: Series, rets: DataFrame) -> float:
     """The default annualisation, by timeframe and market; a series named BASE/QUOTE trades every day."""
     tf = single_timeframe(inp.df)
     if "asset_class" in inp.df.columns:
-        classes = {r[0] for r in inp.df.select("asset_class").distinct().limit(5).collect()} - {None}
-        if "crypto" in classes and len(classes) > 1:
+        crypto = F.col("asset_class") == "crypto"
+        row = inp.df.agg(F.coalesce(F.bool_or(crypto), F.lit(False)).alias("some"), F.coalesce(F.bool_or(~crypto), F.lit(False)).alias("others")).first()
+        if row.some and row.others:
             raise Refusal("periods_per_year_required", "The table mixes crypto with assets that don't trade every day.", "Pass periods_per_year.")
-        every_day = classes == {"crypto"}
+        every_day = row.some
     else:
         every_day = bool(rets.agg(F.coalesce(F.bool_and(F.col("series").contains("/")), F.lit(False))).first()[0])
     if tf is None:
         return observed_periods_per_year(rets, every_day)
     w = Window.partitionBy("series").orderBy("t")
     gap = rets.select((F.unix_micros("t") - F.unix_micros(F.lag("t").over(w))).alias("gap")).filter("gap IS NOT NULL")
-    row = gap.agg(F.median("gap").alias("gap"), F.count("*").alias("n")).first()
+    row = gap.agg(F.percentile_approx("gap", 0.5).alias("gap"), F.count("*").alias("n")).first()
     if row.n >= 5 and row.gap >= 2e6 * seconds(tf):  # sampled, or with missing bars
         return observed_periods_per_year(rets, every_day)
     if (regular := default_periods_per_year(tf, every_day=every_day)) is None:
@@ -101,7 +115,7 @@ def periods_per_year(inp: Series, rets: DataFrame) -> float:
         opens = F.hour(local) * 60 + F.minute(local)
         if not rets.filter((opens >= 16 * 60) | (opens + seconds(tf) // 60 <= 9 * 60 + 30)).isEmpty():
             per_day = rets.groupBy("series", F.to_date(local).alias("d")).agg(F.count("*").alias("n"))
-            counted = 252 * float(per_day.agg(F.median("n")).first()[0])
+            counted = 252 * _median_count(per_day)
             return min(max(counted, regular), default_periods_per_year(tf, extended=True))
     return regular
 
@@ -111,12 +125,15 @@ def volatility(inp: Series, window: int | str = 21, return_kind: str = "log", pe
 
     Rows before a full window are left out. `window` "all" gives a row for each series at its last time.
     """
+    points = inp.points(positive=not as_returns)
+    spread = spread_of(inp, points)
     if as_returns:
-        points = inp.points()
-        check_unique_times(points, inp.label)
-        rets = points.select(F.col("s").alias("series"), F.col("ts").alias("t"), F.col("v").alias("ret"))
+        seen = with_before(points, spread, inp.label)
+        rets = seen.select(F.col("s").alias("series"), F.col("ts").alias("t"), once(F.col("v"), F.col("ts"), F.col("t0"), inp.label).alias("ret"))
     else:
         rets = returns(inp, return_kind).select("series", "t", "ret")
+    if periods is None:
+        rets = through_store(rets, "returns")  # several passes tell the default
     ppy = periods if periods is not None else periods_per_year(inp, rets)
     scale = F.sqrt(F.lit(float(ppy)))
     if window == "all":
@@ -125,11 +142,15 @@ def volatility(inp: Series, window: int | str = 21, return_kind: str = "log", pe
         )
         return out.filter("n_obs >= 2")
     _check_window(int(window))
-    w = Window.partitionBy("series").orderBy("t").rowsBetween(1 - int(window), 0)
-    return rets.select(
+    keys = ["series"]
+    if spread is not None:
+        rets, keys = in_blocks(rets, "series", "t", spread, int(window)), ["series", "block"]
+    w = Window.partitionBy(*keys).orderBy("t").rowsBetween(1 - int(window), 0)
+    out = rets.select(
         "series", "t", F.min("t").over(w).alias("start"), (F.stddev_samp("ret").over(w) * scale).alias("volatility"),
-        F.count("ret").over(w).alias("n_obs"),
+        F.count("ret").over(w).alias("n_obs"), *(["own"] if spread is not None else []),
     ).filter(F.col("n_obs") == int(window))
+    return out.filter("own").drop("own") if spread is not None else out
 
 
 # --- Correlation -------------------------------------------------------------------------------
@@ -146,7 +167,8 @@ def correlation(inp: Series, transform: str = "returns", min_overlap: int = 20,
     if inp.series is None:
         raise Refusal("no_series_column", "Correlation needs a series column.")
     points = inp.points(positive=transform == "returns")
-    check_unique_times(points, inp.label)
+    if transform == "levels":
+        check_unique_times(points, inp.label)
     names = points.select("s").distinct()
     k = names.limit(SERIES_MOST + 1).count()
     if k > SERIES_MOST:
@@ -159,7 +181,8 @@ def correlation(inp: Series, transform: str = "returns", min_overlap: int = 20,
     )
     if transform == "returns":
         w = Window.partitionBy("x", "y").orderBy("ts")
-        both = both.withColumn("v", F.col("v") / F.lag("v").over(w) - 1).withColumn("u", F.col("u") / F.lag("u").over(w) - 1)
+        last = once(F.lag("v").over(w), F.col("ts"), F.lag("ts").over(w), inp.label)  # each series is paired with itself, too
+        both = both.withColumn("v", F.col("v") / last - 1).withColumn("u", F.col("u") / F.lag("u").over(w) - 1)
         both = both.filter("v IS NOT NULL AND u IS NOT NULL")
     if method == "spearman":
         for c in ("v", "u"):
@@ -249,12 +272,26 @@ def resample(df: DataFrame, timeframe: str, agg: str = "last", time: str = "t",
 def drawdown_series(inp: Series) -> DataFrame:
     """series, t, value, peak, drawdown of every value of a series with two or more."""
     points = inp.points(positive=True)
-    check_unique_times(points, inp.label)
-    every = Window.partitionBy("s")
-    run = every.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    out = points.withColumn("pk", F.max("v").over(run)).withColumn("n", F.count("*").over(every)).filter("n >= 2")
+    spread = spread_of(inp, points)
+    if spread is None:
+        every = Window.partitionBy("s")
+        w = every.orderBy("ts")
+        out = points.withColumn("pk", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.withColumn("t0", F.lag("ts").over(w)).withColumn("n", F.count("*").over(every)).filter("n >= 2")
+    else:  # the peak of the pieces before, and the series' number of rows, come from a row a piece
+        cut = points.withColumn("p", piece(spread, F.col("ts")))
+        tops = cut.groupBy("s", "p").agg(F.max("v").alias("top"), F.max("ts").alias("end"), F.count("*").alias("k"))
+        order = Window.partitionBy("s").orderBy("p")
+        tops = tops.select(
+            "s", "p", F.max("top").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("top"), F.lag("end").over(order).alias("end"),
+            F.sum("k").over(Window.partitionBy("s")).alias("n"),
+        )
+        w = Window.partitionBy("s", "p").orderBy("ts")
+        rows = cut.withColumn("own", F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("t1", F.lag("ts").over(w))
+        rows = rows.join(tops, ["s", "p"]).filter("n >= 2")
+        out = rows.select("s", "ts", "v", F.greatest("own", "top").alias("pk"), F.coalesce("t1", "end").alias("t0"))
     return out.select(
-        F.col("s").alias("series"), F.col("ts").alias("t"), F.col("v").alias("value"), F.col("pk").alias("peak"),
+        F.col("s").alias("series"), F.col("ts").alias("t"), once(F.col("v"), F.col("ts"), F.col("t0"), inp.label).alias("value"), F.col("pk").alias("peak"),
         (F.col("v") / F.col("pk") - 1).alias("drawdown"),
     )
 
@@ -295,8 +332,8 @@ def split_benchmark(inp: Series, benchmark: str) -> tuple[Series, Series]:
     bench = inp.df.filter(key == benchmark)
     if bench.isEmpty():
         raise Refusal("unknown_series", f"There is no series '{benchmark}'.")
-    make = lambda df, label: Series(df, inp.time, inp.series, inp.value, label)
-    return make(inp.df.filter(key != benchmark), inp.label), make(bench, "the benchmark")
+    make = lambda df, label, *notes: Series(df, inp.time, inp.series, inp.value, label, list(notes), inp.spread)
+    return make(inp.df.filter(key != benchmark), inp.label), make(bench, "the benchmark", "one series")
 
 
 def shared_returns(assets: Series, benchmark: Series, kind: str = "simple", period: str | None = None) -> DataFrame:
@@ -305,13 +342,16 @@ def shared_returns(assets: Series, benchmark: Series, kind: str = "simple", peri
     if ta and tb and ta != tb and period is None:
         raise Refusal("mismatched_frequency", f"The assets' bars are {ta}, the benchmark's {tb}.", "Pass a period.")
     pa, pb = assets.points(positive=True), benchmark.points(positive=True)
-    check_unique_times(pa, assets.label)
-    if benchmark.series is not None and pb.select("s").distinct().limit(2).count() > 1:
+    if benchmark.series is not None and "one series" not in benchmark.notes and pb.select("s").distinct().limit(2).count() > 1:
         raise Refusal("benchmark_not_single_series", "The benchmark has several series.")
-    check_unique_times(pb, benchmark.label)
+    if period is not None:
+        check_unique_times(pa, assets.label)
+        check_unique_times(pb, benchmark.label)
     pa, pb = sampled(pa, period), sampled(pb, period).select("ts", F.col("v").alias("u"))
     w = Window.partitionBy("s").orderBy("ts")
-    both = pa.join(pb, "ts").withColumn("v0", F.lag("v").over(w)).withColumn("u0", F.lag("u").over(w)).filter("v0 IS NOT NULL")
+    both = pa.join(pb, "ts").withColumn("t0", F.lag("ts").over(w)).withColumn("v0", F.lag("v").over(w)).withColumn("u0", F.lag("u").over(w))
+    # A time that repeats on either side repeats here.
+    both = both.filter("t0 IS NOT NULL").withColumn("v0", once(F.col("v0"), F.col("ts"), F.col("t0"), f"{assets.label} or {benchmark.label}"))
     return both.select("s", "ts", _change(kind, F.col("v"), F.col("v0")).alias("a"), _change(kind, F.col("u"), F.col("u0")).alias("b"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vantidal.errors import Refusal
 from vantidal.functions.timeframes import duration_micros, span_end
+from vantidal.operators.points import LONG, piece
 
 
 def dominant(right: DataFrame, by: list[str], time: str, known: str) -> DataFrame:
@@ -26,15 +27,24 @@ def dominant(right: DataFrame, by: list[str], time: str, known: str) -> DataFram
     return kept.withColumn("__n", F.row_number().over(pick)).filter("__n = 1").drop("__newest", "__n")
 
 
+def _width(both: DataFrame) -> int | None:
+    """Microseconds by which rows without a key are cut; None for a table that one task may hold."""
+    row = both.agg(F.count("*").alias("n"), F.unix_micros(F.min("__at")).alias("a"), F.unix_micros(F.max("__at")).alias("z")).first()
+    return None if row.n <= LONG else max(1, (row.z - row.a) // -(-row.n // LONG))
+
+
 def asof_join(
     left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[tuple[str, str]] = (), direction: str = "backward",
-    tolerance: str | None = None, right_columns: list[str] | None = None, suffix: str = "_right", match: str | None = None,
+    tolerance: str | None = None, right_columns: list[str] | None = None, suffix: str = "_right", match: str | None = None, strict: bool = False,
+    spread: str | None = None,
 ) -> DataFrame:
     """Every left row with the right row of the nearest clock at or before it (forward: at or after it).
 
     `by` pairs key columns; `match` is the right clock that is compared (the time if not given). Left rows with a
     null time or key stay, without a match, and so do left rows that nothing matches. Extra column: matched_t, the
-    matched row's time. Of right rows with equal keys and clocks the one with the greatest row wins.
+    matched row's time. Of right rows with equal keys and clocks the one with the greatest row wins. `strict` leaves out
+    right rows of the same clock. `spread` is a timeframe by which keys with many rows are cut: its pieces are matched apart,
+    and the nearest right row of other pieces comes from a table of a row a piece. Without `by` a long table is cut anyhow.
     """
     if direction not in ("backward", "forward"):
         raise Refusal("invalid_arguments", "The direction is backward or forward.")
@@ -82,9 +92,24 @@ def asof_join(
     )
     # Right rows come before left ones of the same clock where they may match them: backward in ascending order,
     # forward in descending order.
-    order = [F.col("__at").asc(), F.col("__side").asc()] if direction == "backward" else [F.col("__at").desc(), F.col("__side").asc()]
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1")
+    side = F.col("__side").desc() if strict else F.col("__side").asc()
+    order = [F.col("__at").asc(), side] if direction == "backward" else [F.col("__at").desc(), side]
+    width: str | int | None = spread
+    if width is None and not by:
+        width = _width(both)
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1")
+    else:
+        both = both.withColumn("__p", piece(width, F.col("__at")))
+        nearest = (F.max_by if direction == "backward" else F.min_by)("__r", F.when(F.col("__side") == 0, F.col("__at")))
+        ends = both.groupBy(*keys, "__p").agg(nearest.alias("__e"))
+        way = F.col("__p").asc() if direction == "backward" else F.col("__p").desc()
+        before = Window.partitionBy(*keys).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, "__p", F.last("__e", ignorenulls=True).over(before).alias("__e"))
+        w = Window.partitionBy(*keys, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("__own", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1").join(ends, [*keys, "__p"])
+        both = both.withColumn("__m", F.coalesce("__own", "__e"))
     gap = F.abs(F.unix_micros("__at") - F.unix_micros(F.col("__m.__clock")))
     found = F.col("__m") if limit is None else F.when(gap <= limit, F.col("__m"))
     matched = both.select("__l", found.alias("__m"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,7 @@ class Series:
     value: str | None = None
     label: str = "the table"
     notes: list[str] = field(default_factory=list)
+    spread: str | None = None  #: a timeframe by which long series are cut, so that one series is the work of many tasks
 
     def __post_init__(self) -> None:
         fields = {f.name: f.dataType for f in self.df.schema}
@@ -88,11 +89,73 @@ class Series:
 
 
 def check_unique_times(points: DataFrame, label: str = "the table") -> None:
-    """Refuse two values of one series at one time: the order of returns would be unclear."""
+    """Refuse two values of one series at one time: the order of returns would be unclear. An eager pass, for operators
+    whose plan doesn't see neighbours anyway (see `once`)."""
     if not points.groupBy("s", "ts").count().filter("count > 1").isEmpty():
         raise Refusal("duplicate_timestamps", f"{label} has several values of a series at one time.", "Name a series column or remove them.")
 
 
+def once(value: Column, ts: Column, before: Column, label: str = "the table") -> Column:
+    """The value; the query fails where the time is the one before it. No pass of its own."""
+    said = F.raise_error(F.lit(f"duplicate_timestamps: {label} has several values of a series at one time. Name a series column or remove them."))
+    return F.when(ts == before, said.cast("double")).otherwise(value)
+
+
+# --- Long series ---------------------------------------------------------------------------------
+
+#: Rows of a series that one task may hold before a table of a single series is cut by time.
+LONG = 1_000_000
+
+
+def spread_of(inp: Series, points: DataFrame) -> str | int | None:
+    """By what series are cut: what the caller says; a width in microseconds for a long table without a series column."""
+    if inp.spread is not None or inp.series is not None:
+        return inp.spread
+    row = points.agg(F.count("*").alias("n"), F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("z")).first()
+    return None if row.n <= LONG else max(1, (row.z - row.a) // -(-row.n // LONG))
+
+
+def piece(spread: str | int, ts: Column) -> Column:
+    """The number of the piece that an instant falls in."""
+    from vantidal.functions.timeframes import seconds
+
+    width = spread if isinstance(spread, int) else seconds(spread) * 1_000_000
+    return F.floor(F.unix_micros(ts) / F.lit(width)).cast("long")
+
+
+def with_before(points: DataFrame, spread: str | int | None, label: str = "the table") -> DataFrame:
+    """The points with v0 and t0, the value and time before each in its series (null for the first), times being unique.
+
+    A cut series is ordered piece by piece; the last row of the pieces before comes from a small table, one row a piece.
+    """
+    if spread is None:
+        w = Window.partitionBy("s").orderBy("ts")
+        out = points.withColumn("t0", F.lag("ts").over(w)).withColumn("v0", F.lag("v").over(w))
+    else:
+        cut = points.withColumn("p", piece(spread, F.col("ts")))
+        ends = cut.groupBy("s", "p").agg(F.max(F.struct("ts", "v")).alias("e"))
+        ends = ends.select("s", "p", F.lag("e").over(Window.partitionBy("s").orderBy("p")).alias("e"))
+        w = Window.partitionBy("s", "p").orderBy("ts")
+        rows = cut.withColumn("t1", F.lag("ts").over(w)).withColumn("v1", F.lag("v").over(w)).join(ends, ["s", "p"])
+        out = rows.select("s", "ts", "v", F.coalesce("t1", "e.ts").alias("t0"), F.coalesce("v1", "e.v").alias("v0"))
+    return out.withColumn("v0", once(F.col("v0"), F.col("ts"), F.col("t0"), label))
+
+
+def in_blocks(rows: DataFrame, key: str, time: str, spread: str | int, window: int) -> DataFrame:
+    """The rows with `block` and `own`: a rolling window of `window` rows over (key, block) sees what it would see over the
+    whole series in the rows that are `own`. Blocks have equal numbers of rows and the last rows of the block before."""
+    cut = rows.withColumn("p", piece(spread, F.col(time)))
+    sizes = cut.groupBy(key, "p").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(key, "p", before.alias("seen"))
+    number = F.row_number().over(Window.partitionBy(key, "p").orderBy(time)) - 1
+    numbered = cut.withColumn("n", number).join(sizes, [key, "p"]).withColumn("n", F.col("n") + F.col("seen"))
+    size = max(100_000, 10 * window)
+    own, later = F.floor(F.col("n") / size), F.floor((F.col("n") + window - 1) / size)
+    out = numbered.withColumn("block", F.explode(F.array_distinct(F.array(own, later)))).withColumn("own", F.col("block") == own)
+    return out.drop("p", "n", "seen")
+
+
 def single_timeframe(df: DataFrame, column: str = "timeframe") -> str | None:
     """The bars' only timeframe; None without such a column or value; several are refused."""
     if column not in df.columns:

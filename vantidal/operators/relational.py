@@ -22,13 +22,13 @@ def with_ties(df: DataFrame, n: int, *columns: tuple[str, str]) -> DataFrame:
     if n < 1:
         return df.limit(0)
     top = ordered(df, *columns).limit(n)
-    names = [c for c, _ in columns]
-    keys = top.select(*names).collect()  # n rows at most
-    if len(keys) < n:
+    if top.count() < n:
         return df
+    back = [F.col(c).asc_nulls_first() if way == "desc" else F.col(c).desc_nulls_first() for c, way in columns]
+    last = top.orderBy(*back).select(*(c for c, _ in columns)).first()  # one row
     edge = F.lit(True)
-    for c in names:
-        edge &= F.col(c).eqNullSafe(F.lit(keys[-1][c]))
+    for c, _ in columns:
+        edge &= F.col(c).eqNullSafe(F.lit(last[c]))
     return top.filter(~edge).unionByName(df.filter(edge))
 
 

@@ -1,7 +1,8 @@
 """One read-only SELECT over named results: a statement is parsed by Spark and its plan checked node by node.
 
-The plan is walked before analysis, so nothing is resolved, read or run until every node, function and
-relation is allowed. Plan classes are on an allow-list: a kind of statement that isn't known is refused.
+The plan is walked before analysis, so nothing is resolved, read or run until every node, expression, function and
+relation is allowed; the plan that was checked is the one that runs. Plan classes, expression classes and functions are on
+allow-lists: what isn't known is refused.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 import re
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from vantidal.errors import Refusal
@@ -23,19 +26,34 @@ MOST_RESULTS = 8
 #: Plan classes that a query may consist of.
 PLANS = frozenset(
     "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedWith"
-    " UnresolvedRelation UnresolvedInlineTable OneRowRelation UnresolvedHaving WithWindowDefinition Window Generate LateralJoin"
-    " UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction Range LocalRelation Sample ResolvedInlineTable Tail"
-    " UnresolvedTVFAliases CTERelationRef CTERelationDef WithCTE UnionLoop UnionLoopRef Expand".split()
+    " UnresolvedRelation UnresolvedInlineTable OneRowRelation UnresolvedHaving WithWindowDefinition Generate LateralJoin"
+    " UnresolvedSubqueryColumnAliases UnresolvedTableValuedFunction LocalRelation Sample UnresolvedTVFAliases".split()
 )
+#: Expression classes of the parser that compute from their children alone.
+EXPRESSIONS = frozenset(
+    "Add AggregateExpression Alias And AnyValue BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Collate Concat CreateNamedStruct Cube CurrentRow Divide EqualNullSafe"
+    " EqualTo Exists GreaterThan GreaterThanOrEqual GroupingSets ILike If In InSubquery IntegralDivide IsNotNull IsNull LambdaFunction LateralSubquery LessThan LessThanOrEqual"
+    " Like LikeAll LikeAny ListQuery Literal MultiAlias Multiply Not NotLikeAll NotLikeAny Or Overlay RLike Remainder Rollup ScalarSubquery SemiStructuredExtract SortOrder"
+    " SpecifiedWindowFrame StringLocate StringTrim StringTrimLeft StringTrimRight StringTrimBoth Substring Subtract TimestampAdd TimestampDiff UnaryMinus UnaryPositive"
+    " UnboundedFollowing UnboundedPreceding UnresolvedAlias UnresolvedAttribute UnresolvedCollation UnresolvedExtractValue UnresolvedFunction UnresolvedGenerator"
+    " UnresolvedNamedLambdaVariable UnresolvedOrdinal UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedWindowExpression UnspecifiedFrame WindowExpression"
+    " WindowSpecDefinition AttributeReference Between UnresolvedInlineTable".split()
+)
+SUBQUERIES = frozenset("ScalarSubquery Exists ListQuery LateralSubquery".split())
 #: Table functions that read no files and no settings.
 TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple".split())
-#: Functions that reach outside the data: files, classes, settings, the session.
-FUNCTIONS = frozenset(
-    "java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length current_catalog current_database"
-    " current_schema current_user user session_user version assert_true raise_error spark_partition_id monotonically_increasing_id"
-    " read_files from_avro to_avro from_protobuf to_protobuf getenv sleep query_table read_csv read_parquet read_json read_text glob".split()
+#: Groups of Spark's built-in functions that compute from their arguments alone. The group of files, classes, settings and the
+#: session (misc_funcs) isn't among them.
+GROUPS = frozenset(
+    "math_funcs agg_funcs generator_funcs datetime_funcs array_funcs string_funcs map_funcs predicate_funcs bitwise_funcs variant_funcs window_funcs json_funcs"
+    " conversion_funcs lambda_funcs conditional_funcs csv_funcs url_funcs xml_funcs hash_funcs struct_funcs collection_funcs".split()
 )
-DENIED_STARTS = ("pragma_", "duckdb_", "http_", "read_", "write_", "copy_", "sqlite_", "postgres_", "mysql_", "iceberg_")
+#: Of other groups or none.
+FUNCTIONS = frozenset("typeof struct named_struct grouping grouping_id date timestamp double decimal string int bigint boolean float binary".split())
+#: Of those groups, but not of the arguments alone.
+DENIED = frozenset("schema_of_xml schema_of_json schema_of_csv raise_error assert_true".split())
+#: Names that Spark takes for a function of the session where no column is called so.
+SESSION_NAMES = frozenset("current_user session_user user current_catalog current_database current_schema current_path".split())
 
 
 @dataclass
@@ -44,6 +62,7 @@ class Checked:
 
     sql: str
     results: list[str] = field(default_factory=list)
+    plan: object = None
 
 
 def _scala(seq) -> list:
@@ -59,9 +78,16 @@ def _is(node, kind: str) -> bool:
 
 
 class _Walk:
-    def __init__(self, live: set[str]):
+    def __init__(self, spark: SparkSession, live: set[str]):
         self.live = {x.lower() for x in live}
         self.used: dict[str, None] = {}
+        jvm = spark._jvm.org.apache.spark.sql.catalyst
+        self.registry, self.identifier = jvm.analysis.FunctionRegistry.builtin(), jvm.FunctionIdentifier
+
+    def group(self, name: str) -> str:
+        """The group of a built-in function; empty for others."""
+        found = self.registry.lookupFunction(self.identifier(name))
+        return found.get().getGroup() if found.isDefined() else ""
 
     def plan(self, node, names: frozenset[str]) -> None:
         kind = _class(node)
@@ -99,19 +125,45 @@ class _Walk:
 
     def expression(self, e, names: frozenset[str]) -> None:
         kind = _class(e)
+        if kind not in EXPRESSIONS:
+            what = "Parameters" if kind in ("NamedParameter", "PosParameter") else "IDENTIFIER" if "Identifier" in kind else kind or "That expression"
+            raise Refusal("sql_function" if "Identifier" in kind else "sql_forbidden", f"{what} isn't allowed.")
         if kind == "UnresolvedFunction":
-            name = _scala(e.nameParts())[-1].lower()
-            if name in FUNCTIONS or name.startswith(DENIED_STARTS) or name.endswith("_scan"):
-                raise Refusal("sql_function", f"The function {name} isn't allowed.")
-        if kind in ("NamedParameter", "PosParameter"):
-            raise Refusal("sql_forbidden", "Parameters aren't allowed.", "Write the values.")
-        if hasattr(e, "plan") and kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "TableArgument", "FunctionTableSubqueryArgumentExpression"):
+            parts = [p.lower() for p in _scala(e.nameParts())]
+            self.function(parts)
+        if kind == "UnresolvedGenerator":
+            name = e.name()
+            self.function(([name.database().get()] if name.database().isDefined() else []) + [name.funcName().lower()])
+        if kind == "UnresolvedAttribute":
+            parts = _scala(e.nameParts())
+            if len(parts) == 1 and parts[0].lower() in SESSION_NAMES:
+                raise Refusal("sql_function", f"{parts[0]} isn't allowed.", f"For a column of that name write the result's name before it: r.{parts[0]}.")
+        if kind in SUBQUERIES:
             self.plan(e.plan(), names)
-        if kind == "WithWindowDefinition":
-            raise Refusal("sql_forbidden", "That window can't be checked.")
         for child in _scala(e.children()):
             self.expression(child, names)
 
+    def function(self, parts: list[str]) -> None:
+        name = parts[-1]
+        allowed = name in FUNCTIONS or name in compat.OWN_NAMES or (name not in DENIED and self.group(name) in GROUPS)
+        if len(parts) > 1 or not allowed:
+            raise Refusal("sql_function", f"The function {'.'.join(parts)} isn't allowed.")
+
+
+@contextmanager
+def _active(spark: SparkSession) -> Iterator[None]:
+    """The parser reads the settings of the thread's active session."""
+    jvm = spark._jvm.org.apache.spark.sql.classic.SparkSession
+    before = jvm.getActiveSession()
+    jvm.setActiveSession(spark._jsparkSession)
+    try:
+        yield
+    finally:
+        if before.isDefined():
+            jvm.setActiveSession(before.get())
+        else:
+            jvm.clearActiveSession()
+
 
 def check(spark: SparkSession, sql: str, live: set[str]) -> Checked:
     """Refuse what isn't one SELECT over live results; returns the statement and the results that it reads."""
@@ -128,14 +180,31 @@ def check(spark: SparkSession, sql: str, live: set[str]) -> Checked:
     compat.refuse_silent_joins(text)
     parser = spark._jsparkSession.sessionState().sqlParser()
     try:
-        plan = parser.parsePlan(text)
+        with _active(spark):
+            plan = parser.parsePlan(text)
     except ParseException as e:
         raise Refusal("sql_parse", first_line(str(e)), hint(str(e), text)) from None
     except Exception as e:  # the parser's Java errors
         raise Refusal("sql_parse", first_line(str(e)), hint(str(e), text)) from None
-    walk = _Walk(live)
+    walk = _Walk(spark, live)
     walk.plan(plan, frozenset())
-    return Checked(text, list(walk.used))
+    return Checked(text, list(walk.used), plan)
+
+
+def checked_frame(spark: SparkSession, query: compat.Query, live: set[str]) -> DataFrame:
+    """The rows of a rewritten statement, with the first of its choices that Spark can resolve. The checked plan is what runs."""
+    jvm = spark._jvm.org.apache.spark.sql.classic
+    error: Exception | None = None
+    for text in query.texts():
+        checked = check(spark, text, live)
+        try:
+            return query.finish(DataFrame(jvm.Dataset.ofRows(spark._jsparkSession, checked.plan), spark))
+        except AnalysisException as e:
+            if error is None or "DATATYPE_MISMATCH" not in str(e):
+                error = e
+            if "DATATYPE_MISMATCH" not in str(e) and "CAST" not in str(e):
+                break
+    raise error
 
 
 def first_line(message: str) -> str:
@@ -162,21 +231,35 @@ def hint(message: str, sql: str) -> str | None:
     return None
 
 
-def run(spark: SparkSession, sql: str, results: dict[str, DataFrame], most: int = 200) -> DataFrame:
-    """The checked statement's rows, one more than `most` so that a reader sees that there are more.
+#: Names in double quotes, exact arithmetic, literals as the rewriter writes them.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.ansi.doubleQuotedIdentifiers": "true",
+    "spark.sql.parser.escapedStringLiterals": "false", "spark.sql.legacy.consecutiveStringLiterals.enabled": "false", "spark.sql.crossJoin.enabled": "true",
+}
+
+
+def run(spark: SparkSession, sql: str, results: dict[str, DataFrame], most: int | None = 200) -> DataFrame:
+    """The checked statement's rows, one more than `most` so that a reader sees that there are more (None: all).
 
-    The idioms that Spark lacks are rewritten first; results are temporary views of a session of its own, so
+    The statement is rewritten in Spark's terms first; results are temporary views of a session of its own, so
     statements see nothing else.
     """
+    if sql and len(sql) > MOST_CHARS:
+        raise Refusal("sql_too_long", f"A statement has {MOST_CHARS} characters at most.")
+    if not sql or not sql.strip("; \t\r\n") or "\0" in sql:
+        raise Refusal("sql_empty", "There is no statement.")
+    if len([p for p in compat.split(sql, ";") if p.strip()]) > 1:
+        raise Refusal("sql_multiple", "There are several statements.", "Send one.")
     own = spark.newSession()
-    own.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in SETTINGS.items():
+        own.conf.set(key, value)
     compat.register_functions(own)
     for name, df in results.items():
         _move(df, own).createOrReplaceTempView(name)
-    query = compat.rewrite(own, sql.strip().rstrip("; \t\r\n") if sql else sql)
-    checked = check(own, query.sql, set(results) | set(query.views))
+    query = compat.rewrite(own, sql)
     try:
-        return query.finish(own.sql(checked.sql)).limit(most + 1)
+        out = checked_frame(own, query, set(results) | set(query.views))
+        return out if most is None else out.limit(most + 1)
     except Refusal:
         raise
     except Exception as e:

@@ -68,7 +68,8 @@ class TokenBucket:
 
 
 def fetch_keys(spark: SparkSession, keys: list[str], fetch: Callable[[str, str | None], Page], schema: str, per_minute: float = 190, tasks: int = 8) -> DataFrame:
-    """Rows of all keys; the rate is divided among the tasks, so the whole stays within it."""
+    """Rows of all keys, with `truncated`: whether a cap cut the key's rows. The rate is divided among the tasks, so the
+    whole stays within it."""
     tasks = max(1, min(tasks, len(keys)))
 
     def run(batches: Iterator) -> Iterator:
@@ -82,9 +83,9 @@ def fetch_keys(spark: SparkSession, keys: list[str], fetch: Callable[[str, str |
                     bucket.take()
                     return fetch(key, token)
 
-                rows = paginate(one).rows
-                if rows:
-                    yield pd.DataFrame(rows)
+                got = paginate(one)
+                if got.rows:
+                    yield pd.DataFrame(got.rows).assign(truncated=got.truncated)
 
     frame = spark.createDataFrame([(k,) for k in keys], "key string").repartition(tasks, "key")
-    return frame.mapInPandas(run, schema)
+    return frame.mapInPandas(run, f"{schema}, truncated boolean")

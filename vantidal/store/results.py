@@ -9,6 +9,9 @@ from __future__ import annotations
 import json
 import re
 import secrets
+import time as clock
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime, timedelta
 
@@ -16,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vantidal.errors import Refusal
-from vantidal.operators.relational import column_summary, ordered, sample_rows
+from vantidal.operators.relational import column_summary, ordered
 from vantidal.plans import guard
 from vantidal.session import shared_dir
 
 ID = re.compile(r"r_[0-9a-f]{10}")
 PREVIEW, GROUPS = 3, 20
 INLINE_ROWS, INLINE_TOKENS = 200, 6000
+#: Seconds that a query may take, that a lock holds, and after which an unfinished result is an orphan.
+QUERY_SECONDS, LOCK_SECONDS, ORPHAN_SECONDS = 10, 600, 6 * 3600
 
 
 @dataclass
@@ -110,9 +115,36 @@ class ResultStore:
         info = Info(rid, tool, kept.count(), size, datetime.now(UTC).isoformat(), columns, time, group, model, parents, provenance or {}, rows_of, cut)
         self._write_text(f"{aside}/info.json", json.dumps(asdict(info)))
         fs.rename(p, self._fs(final)[1])
-        self.evict(keep=rid)
+        with self.locked():
+            self.evict(keep=rid)
         return info
 
+    @contextmanager
+    def locked(self, wait: float = 10.0) -> Iterator[None]:
+        """One writer at a time: a file that only one can create. A lock that its owner left behind goes after LOCK_SECONDS."""
+        fs, p = self._fs(f"{self.root}/.lock")
+        until = clock.monotonic() + wait
+        while True:
+            try:
+                fs.create(p, False).close()
+                break
+            except Exception as e:
+                if "exist" not in str(e).lower():
+                    raise
+            try:
+                if clock.time() - fs.getFileStatus(p).getModificationTime() / 1000 > LOCK_SECONDS:
+                    fs.delete(p, False)
+                    continue
+            except Exception:  # it went meanwhile
+                continue
+            if clock.monotonic() > until:
+                raise Refusal("store_busy", "Another writer holds the store.", "Try again.")
+            clock.sleep(0.05)
+        try:
+            yield
+        finally:
+            fs.delete(p, False)
+
     def live(self) -> list[str]:
         fs, p = self._fs(self.root)
         if not fs.exists(p):
@@ -149,8 +181,13 @@ class ResultStore:
         return {"results": len(infos), "bytes": sum(i.size for i in infos), "most_bytes": self.most}
 
     def evict(self, keep: str | None = None) -> list[str]:
-        """Drop expired results; beyond the size cap the oldest, down to nine tenths of it. Also what a crash left."""
+        """Drop expired results; beyond the size cap the oldest, down to nine tenths of it. Also what a crash left: unfinished
+        results that are older than ORPHAN_SECONDS."""
         now, gone = datetime.now(UTC), []
+        fs, p = self._fs(self.root)
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            if s.getPath().getName().startswith(".tmp-") and clock.time() - s.getModificationTime() / 1000 > ORPHAN_SECONDS:
+                fs.delete(s.getPath(), True)
         infos = [i for i in self.list() if i.result_id != keep]
         for i in infos:
             if now - datetime.fromisoformat(i.created) > self.ttl:
@@ -164,11 +201,18 @@ class ResultStore:
         self.drop(*gone)
         return gone
 
-    def query(self, sql: str, most: int = INLINE_ROWS) -> DataFrame:
-        """One guarded SELECT over the session's results."""
+    def select(self, sql: str, most: int | None = None) -> DataFrame:
+        """One guarded SELECT over the session's results, as a plan that hasn't run (to be stored, say)."""
         named = {t.lower() for t in re.findall(r"\br_[0-9a-f]{10}\b", sql or "", re.I)}
         return guard.run(self.spark, sql, {r: self.read(r) for r in self.live() if r in named}, most)
 
+    def query(self, sql: str, most: int = INLINE_ROWS, seconds: float = QUERY_SECONDS) -> DataFrame:
+        """One guarded SELECT over the session's results: `most` rows and one more at most, within the time."""
+        if not 1 <= most <= INLINE_ROWS or not 1 <= seconds <= 120:
+            raise Refusal("invalid_arguments", f"A query returns 1 to {INLINE_ROWS} rows within 1 to 120 seconds.")
+        df = self.select(sql, most)
+        return self.spark.createDataFrame(guard.rows_within(df, seconds), df.schema)
+
 
 def ready_queries(info: Info) -> list[str]:
     """Three statements that fit the table: coverage, the latest rows and a daily summary; or a count, rows and a sample."""
@@ -286,5 +330,21 @@ def export(store: ResultStore, rid: str, path: str, kind: str = "parquet", overw
     return path
 
 
-def sampled(store: ResultStore, rid: str, n: int, key: str) -> DataFrame:
-    return sample_rows(store.read(rid), n, key)
+def sampled(store: ResultStore, rid: str, n: int = 10, method: str = "first", columns: list[str] | None = None) -> DataFrame:
+    """n rows (50 at most): the first or last by the result's time (nulls last; stored order without a time), or a seeded
+    sample that is the same on every run."""
+    if not 1 <= n <= 50 or method not in ("first", "last", "random"):
+        raise Refusal("invalid_arguments", "A sample has 1 to 50 rows, by first, last or random.")
+    info, df = store.info(rid), store.read(rid)
+    if method == "random":
+        flat = [c for c, k in df.dtypes if not k.startswith("map")]
+        out = df.orderBy(F.xxhash64(F.lit(42), *(F.col(f"`{c}`") for c in flat))).limit(n)
+    elif info.time is None:
+        out = df.limit(n) if method == "first" else df.offset(max(0, info.rows - n))
+    else:
+        out = ordered(df, (info.time, "asc" if method == "first" else "desc")).limit(n)
+        out = ordered(out, info.time)
+    unknown = [c for c in columns or () if c not in df.columns]
+    if unknown:
+        raise Refusal("unknown_column", f"'{rid}' has no column '{unknown[0]}'.")
+    return out.select(*(f"`{c}`" for c in columns)) if columns else out
