@@ -69,6 +69,9 @@ _SECRET = re.compile(
     r"(?P<sep>\s{0,3}[=:]\s{0,3})(?P<q>[\"']?)(?P<value>[A-Za-z0-9+/_.~-]{6,512}={0,2})(?P=q)"
 )
 _KEY_ID = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:ghp|gho|sk|pk)_[A-Za-z0-9_]{16,255}")
+#: A text without any of these has no such secret: they are looked for before the pattern is.
+_SECRET_WORDS = ("pass", "pwd", "secret", "token", "key")
+_KEY_MARKS = ("akia", "asia", "ghp_", "gho_", "sk_", "pk_")
 #: Titles before a name, by gender.
 TITLES = {
     "m": ("Mr", "Mister", "Sir", "Lord", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Signor"),
@@ -121,7 +124,9 @@ def _names(text: str) -> list[Entity]:
         if not m["name"][0].islower():
             genders = [_GENDER[t.rstrip(".")] for t in re.split("[ \xa0]", m["titles"].strip(" \xa0"))]
             found += _parts(m.start("name"), m["name"], next((g for g in genders if g != "n"), ""))
-    for pattern in (_GIVEN_AS, *([_ADDRESSEE] if "@" in text else [])):
+    low = text.lower()
+    cues = [_GIVEN_AS] if any(p.lower() in low for p in PHRASES) else []
+    for pattern in [*cues, *([_ADDRESSEE] if "@" in text else [])]:
         found = _fitted(found, [e for m in pattern.finditer(text) for e in _parts(m.start("name"), m["name"], "")])
     known = {e.value: e for e in reversed(found) if len(e.value) > 2}
     if known:  # the same words elsewhere in the text
@@ -135,8 +140,9 @@ def detect(text: str | None) -> list[Entity]:
     if not text:
         return []
     by_start = lambda found: sorted(found, key=lambda e: (e.start, -e.end))
-    secrets = [Entity("secret", *m.span(), m[0]) for m in _KEY_ID.finditer(text)]
-    if "=" in text or ":" in text:
+    low = text.lower()
+    secrets = [Entity("secret", *m.span(), m[0]) for m in _KEY_ID.finditer(text)] if any(w in low for w in _KEY_MARKS) else []
+    if ("=" in text or ":" in text) and any(w in low for w in _SECRET_WORDS):
         secrets += [Entity("secret", *m.span("value"), m["value"]) for m in _SECRET.finditer(text)]
     found = _fitted([], by_start(secrets))
     if "@" in text:
