@@ -69,6 +69,33 @@ def test_all_links_count(spark, seed, block):
     assert got == want
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_exact_links_miss_none(spark, percent):
+    """Buckets of prefixes: pairs at and around the threshold, down to sets of a few shingles."""
+    rng = random.Random(percent)
+    rows = [r for r in corpus(4, copies=20)]
+    for n in range(120):
+        size = rng.randrange(5, 60)
+        base = [f"s{rng.randrange(10**6)}" for _ in range(size)]
+        rows += [(10_000 + 2 * n, " ".join(base)), (10_001 + 2 * n, " ".join(base[: size - rng.randrange(0, 6)]))]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), nd.Linking(percent=percent, exact=True)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in ids}
+
+
 def test_odd_rows(spark):
     rows = [
         (1, "a b c"), (2, "A B  c\n"), (3, None), (4, ""), (5, " \t\n"), (None, "a b c"), (None, None), (7, "a b c"), (7, "q w e r t y u"),

@@ -17,7 +17,9 @@ Plan, in terms of distinct sets (copies meet by their set's hash and cost nothin
    once as a matrix product. A block gives back the links that join its components, no candidates.
 
 No step emits all pairs of a bucket, and no bucket is capped: the blocks of step 3 cover it whole.
-With 40 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability below 1e-8.
+With 40 bands of 6 rows a pair at similarity 0.85 shares no bucket with probability below 1e-8, and at the sketch's cut
+another share of about 1e-6 is lost. `Linking(exact=True)` loses none: buckets are then the shingles of each set's prefix (of
+two sets that are similar enough the prefixes share one), and no pair is ruled out by its sketches.
 """
 
 from __future__ import annotations
@@ -48,6 +50,7 @@ class Linking:
     cut: float = 0.72  #: agreement of sketches below which a pair can't reach 0.85 (5 deviations)
     block: int = 512  #: members of a bucket compared with as many others at once
     fan: int = 512  #: pairs of one document verified by one task at most
+    exact: bool = False  #: buckets that miss no link, at the cost of more of them for long texts
 
     @property
     def size(self) -> int:
@@ -58,6 +61,11 @@ class Linking:
         """Smaller sets can only be linked with equal ones: the union of two others holds one element more at least."""
         return next(n for n in range(1, 1000) if 100 * n >= self.percent * (n + 1))
 
+    def prefix(self, n: int) -> int:
+        """Two sets of which one has n elements share an element of their prefixes if they are similar enough: they share
+        percent / 100 of n at least, so among all but that many and one of the least (by one hash for all) is a common one."""
+        return n - -(-self.percent * n // 100) + 1
+
 
 # --- Sets and sketches -------------------------------------------------------------------------
 
@@ -117,13 +125,17 @@ def fast_sketches(sets: list[np.ndarray], size: int, seed: int) -> np.ndarray:
     return out
 
 
-def buckets(sketch: Column, p: Linking) -> Column:
-    """The hash of each band of a sketch, with the band's number."""
+def buckets(p: Linking) -> Column:
+    """The hash of each band of a sketch, with the band's number; or the set's prefix."""
+    if p.exact:
+        return F.col("prefix")
+    sketch = F.col("sketch")
     return F.array(*(F.xxhash64(F.lit(i), F.substring(sketch, i * p.rows + 1, p.rows)) for i in range(p.bands)))
 
 
 def sketch_documents(docs: DataFrame, p: Linking) -> DataFrame:
-    """id, n (set size), s1 and s2 (the set's hash), sketch (a byte of each coordinate; null for sets too small to be linked)."""
+    """id, n (set size), s1 and s2 (the set's hash), sketch (a byte of each coordinate; null for sets too small to be linked)
+    and prefix (null unless links are to be exact)."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(rows):
@@ -133,17 +145,20 @@ def sketch_documents(docs: DataFrame, p: Linking) -> DataFrame:
             s2 = np.array([mix(s).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64)
             large = np.flatnonzero(n >= p.least)
             bytes_: list = [None] * len(sets)
+            prefixes: list = [None] * len(sets)
             if len(large):
                 sk = fast_sketches([sets[i] for i in large], p.size, p.seed)
                 for i, raw in zip(large.tolist(), (sk & np.uint64(255)).astype(np.uint8), strict=True):
                     bytes_[i] = raw.tobytes()
+                for i in large.tolist() if p.exact else ():
+                    prefixes[i] = sets[i][: p.prefix(len(sets[i]))].view(np.int64)  # sets are in order of their hashes
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(bytes_, pa.binary())],
-                ["id", "n", "s1", "s2", "sketch"],
-            )
+                [batch.column("id"), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(bytes_, pa.binary()),
+                 pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "sketch", "prefix"],
+            )
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, sketch binary")
+    return docs.mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, sketch binary, prefix array<bigint>")
 
 
 # --- Components --------------------------------------------------------------------------------
@@ -163,13 +178,15 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # A stored side, so that a node with many neighbours is a skewed key that is split.
+        least = through_store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        centre = least
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, edges = edges, through_store(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        forget(old)
+        forget(old, centre)
         now = mark(edges)
         if now == before:
             break
@@ -190,7 +207,7 @@ def likely_pairs(pairs: DataFrame, sketches: DataFrame, p: Linking) -> DataFrame
     of = lambda c: sketches.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     sizes = 100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b")
     both = pairs.join(of("b"), "b").join(of("a"), "a").filter(sizes).select("a", "b", "s_a", "s_b")
-    need = p.cut * p.size  # only low bytes are compared: unequal coordinates agree once in 256
+    need = 0 if p.exact else p.cut * p.size  # only low bytes are compared: unequal coordinates agree once in 256
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -318,9 +335,10 @@ def _likely(groups: DataFrame, sketches: DataFrame, p: Linking) -> DataFrame:
     sizes = groups.groupBy("gid", "comp").agg(F.count("*").alias("k"))
     sizes = sizes.groupBy("gid").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("size"))
     sizes = sizes.select("gid", "size", F.col("top.comp").alias("main"), F.col("top.k").alias("main_n"))
+    sizes = through_store(sizes, "sizes")  # a stored side, so that a large group is a skewed key that is split
     rows = groups.join(sizes, "gid").select("gid", "id", "comp", F.explode(_block_keys(p)).alias("key"))
     rows = rows.select("gid", "key.i", "key.j", "id", "comp").join(sketches, "id")
-    need = p.cut * p.size  # only low bytes are compared: unequal coordinates agree once in 256
+    need = 0 if p.exact else p.cut * p.size
 
     def each(key: tuple, columns: list[list]) -> list[tuple]:
         ids, comps, raw = columns
@@ -335,7 +353,9 @@ def _likely(groups: DataFrame, sketches: DataFrame, p: Linking) -> DataFrame:
         return [(*key, ids[x], comps[x]) for x in np.flatnonzero(hit)]
 
     kind = dict(groups.dtypes)["id"]
-    return _by_block(rows, ["id", "comp", "sketch"], f"gid bigint, i int, j int, id {kind}, comp {kind}", each)
+    out = _by_block(rows, ["id", "comp", "sketch"], f"gid bigint, i int, j int, id {kind}, comp {kind}", each)
+    out._reads = (sizes,)
+    return out
 
 
 def shared_counts(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
@@ -406,7 +426,8 @@ def near_duplicates(docs: DataFrame, linking: Linking | None = None, id_col: str
     classes = sk.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
     classes = through_store(classes.filter("rep < top").drop("top"), "classes")
     of = sk.join(classes, ["n", "s1", "s2"], "left").withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
-    of = through_store(of.select("id", "n", "rep", F.when(F.col("id") == F.col("rep"), F.col("sketch")).alias("sketch")), "members")
+    first = F.col("id") == F.col("rep")
+    of = through_store(of.select("id", "n", "rep", F.when(first, F.col("sketch")).alias("sketch"), F.when(first, F.col("prefix")).alias("prefix")), "members")
     forget(sk, classes)
     # An id that repeats with different texts belongs to several classes, which it joins.
     many = of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")
@@ -414,7 +435,7 @@ def near_duplicates(docs: DataFrame, linking: Linking | None = None, id_col: str
 
     # A class is its representative's sketch. Buckets with several ids are kept: their head and all their members.
     own = of.filter("sketch IS NOT NULL").select("id", "n", "sketch")
-    cells = own.select("id", F.explode(buckets(F.col("sketch"), p)).alias("bucket"))
+    cells = of.filter("sketch IS NOT NULL").select("id", F.explode(buckets(p)).alias("bucket"))
     heads = cells.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("bucket", "a")
     heads = through_store(heads, "heads")
     shared = through_store(cells.join(heads, "bucket").select("bucket", "a", "id"), "buckets")
@@ -429,8 +450,9 @@ def near_duplicates(docs: DataFrame, linking: Linking | None = None, id_col: str
     forget(pairs, real)
     comp = components(links)
     groups = _groups(shared, comp)
-    likely = through_store(_likely(groups, sketches, p), "likely")
-    forget(groups, shared, sketches)
+    found = _likely(groups, sketches, p)
+    likely = through_store(found, "likely")
+    forget(found, groups, shared, sketches)
     if not likely.isEmpty():
         more = through_store(_links_apart(likely, docs, p), "links")
         if not more.isEmpty():
