@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tests.oracle import assert_same, duck
-from vantidal import catalog
+from vantidal import catalog, catalog_records, catalog_rules, catalog_sql
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +18,12 @@ def test_query(spark, sf, con, name):
     assert_same(catalog.QUERIES[name](spark, sf), con, catalog.SQL[name])
 
 
+def test_all_are_registered():
+    import __spark_entry__
+
+    assert catalog_sql.E and catalog_rules.TOOLS and catalog_records.CUSTOMERS and set(catalog.SQL) <= set(__spark_entry__.oracle_sql())
+
+
 def test_entry(spark):
     import __spark_entry__
 

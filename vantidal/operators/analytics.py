@@ -226,6 +226,15 @@ def resample_bars(bars: DataFrame, timeframe: str, time: str = "t", series: str
     return made.withColumnRenamed("bucket", time)
 
 
+def resample_any(df: DataFrame, timeframe: str, rule=None, agg: str = "last", time: str = "t", series: str | None = None, order: str | None = None) -> DataFrame:
+    """Bars by the bar rules, also those that a query handed on (`rule` says what the rows are made of); other tables by `agg`."""
+    from vantidal.operators.pit import passes_bars
+
+    if passes_bars(df, rule):
+        return resample_bars(df, timeframe, time, series, order)
+    return resample(df, timeframe, agg, time, series, order=order)
+
+
 #: How a value column is combined within a bucket.
 COMBINE = ("last", "first", "mean", "sum", "min", "max")
 

@@ -36,13 +36,13 @@ def _width(both: DataFrame) -> int | None:
 def asof_join(
     left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[tuple[str, str]] = (), direction: str = "backward",
     tolerance: str | None = None, right_columns: list[str] | None = None, suffix: str = "_right", match: str | None = None, strict: bool = False,
-    spread: str | None = None,
+    spread: str | None = None, match_name: str = "matched_t",
 ) -> DataFrame:
     """Every left row with the right row of the nearest clock at or before it (forward: at or after it).
 
     `by` pairs key columns; `match` is the right clock that is compared (the time if not given). Left rows with a
-    null time or key stay, without a match, and so do left rows that nothing matches. Extra column: matched_t, the
-    matched row's time. Of right rows with equal keys and clocks the one with the greatest row wins. `strict` leaves out
+    null time or key stay, without a match, and so do left rows that nothing matches. Extra column: matched_t (or `match_name`),
+    the matched row's time. Of right rows with equal keys and clocks the one with the greatest row wins. `strict` leaves out
     right rows of the same clock. `spread` is a timeframe by which keys with many rows are cut: its pieces are matched apart,
     and the nearest right row of other pieces comes from a table of a row a piece. Without `by` a long table is cut anyhow.
     """
@@ -56,11 +56,11 @@ def asof_join(
             if c not in df.columns:
                 raise Refusal("unknown_column", f"There is no column '{c}'.", f"There are {', '.join(df.columns)}.")
     taken = right_columns if right_columns is not None else [c for c in right.columns if c not in (right_time, "absent", *rby)]
-    if "matched_t" in left.columns:
-        raise Refusal("column_collision", "The left side already has matched_t.")
+    if match_name in left.columns:
+        raise Refusal("column_collision", f"The left side already has {match_name}.")
     names: dict[str, str] = {}
     for c in taken:
-        new = c + suffix if c in left.columns or c == "matched_t" else c
+        new = c + suffix if c in left.columns or c == match_name else c
         if new in left.columns or new in names.values():
             raise Refusal("column_collision", f"'{new}' would appear twice.", "Choose another suffix or fewer columns.")
         names[c] = new
@@ -116,7 +116,7 @@ def asof_join(
     alone = base.filter(~F.col("__ok")).select("__l", F.lit(None).cast(r.schema["__r"].dataType).alias("__m"))
     return matched.unionByName(alone).select(
         *(F.col(f"__l.l{i}").alias(c) for i, c in enumerate(left.columns)),
-        F.col("__m.matched_t").alias("matched_t"), *(F.col(f"__m.r{i}").alias(names[c]) for i, c in enumerate(taken)),
+        F.col("__m.matched_t").alias(match_name), *(F.col(f"__m.r{i}").alias(names[c]) for i, c in enumerate(taken)),
     )
 
 
@@ -153,10 +153,36 @@ class Alignment:
     right: DataFrame
     match_on: str
     point_in_time: bool
+    versions: DataFrame | None = None  #: the right side's rows with __t and __known, before the newest of each were picked
+    by: tuple[tuple[str, str], ...] = ()
+    left_time: str = ""
 
     def unmatched(self) -> int:
         return self.df.filter("matched_t IS NULL").count()
 
+    def stale(self) -> DataFrame:
+        """The rows whose match isn't the newest that the right side dates at or before them: a newer one (`newest_t`) is there,
+        but wasn't known yet. A second as-of join, on the right side's own times."""
+        if self.versions is None:
+            raise Refusal("not_point_in_time", "The table wasn't matched on when rows became known.")
+        keys = [b for _, b in self.by]
+        times = self.versions.select(*keys, F.col("__t").alias("__newest")).distinct()
+        out = asof_join(self.df, times, self.left_time, "__newest", list(self.by), right_columns=[], suffix="_newest", match_name="newest_t")
+        return out.filter(F.col("newest_t") > F.col("matched_t"))
+
+    def revised(self) -> tuple[int, int]:
+        """Of a right side with one version of each time: how many rows became known after a later time's row did (they are
+        shown as revised), and how many there are. (0, 0) where it has several versions."""
+        if self.versions is None:
+            return 0, 0
+        keys = [b for _, b in self.by]
+        one = self.versions.groupBy(*keys, "__t").agg(F.max("__known").alias("k"), F.count("*").alias("n"))
+        later = Window.partitionBy(*keys).orderBy(F.col("__t").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        row = one.withColumn("next", F.min("k").over(later)).agg(
+            F.max("n").alias("n"), F.count("*").alias("total"), F.count(F.when(F.col("k") > F.col("next"), 1)).alias("revised")
+        ).first()
+        return (row.revised, row.total) if row.n == 1 else (0, 0)
+
     def look_ahead(self, left_time: str) -> int:
         """Matches that weren't known yet at the left row's time (only with match_on time)."""
         return self.df.filter(F.col("__known") > F.col(left_time)).count() if "__known" in self.df.columns else 0
@@ -188,6 +214,6 @@ def align(
         out = asof_join(left, known, left_time, right_time, by, direction, tolerance, [*right_columns, "__known"], suffix)
         return Alignment(out, known, match_on, False)
     known = known.filter("__known IS NOT NULL").withColumn("__t", F.col(right_time).cast("timestamp"))
-    known = dominant(known, [b for _, b in by], "__t", "__known")
+    versions, known = known, dominant(known, [b for _, b in by], "__t", "__known")
     out = asof_join(left, known, left_time, right_time, by, direction, tolerance, right_columns, suffix, match="__known")
-    return Alignment(out, known, match_on, direction == "backward")
+    return Alignment(out, known, match_on, direction == "backward", versions, tuple(by), left_time)

@@ -136,6 +136,38 @@ def inherited(out: DataFrame, inputs: dict[str, Known]) -> DataFrame:
     return out.select(*cols)
 
 
+BAR_COLUMNS = ("open", "high", "low", "close", "volume")
+BAR_MODELS = ("Bar", "OptionBar")
+
+
+def passes_bars(df: DataFrame, rule: RowsOf | None) -> bool:
+    """Whether rows are bars that a query handed on: made of bars, with all five bar columns as numbers."""
+    from vantidal.operators.points import NUMERIC
+
+    kinds = {f.name: f.dataType for f in df.schema}
+    return rule is not None and rule.model in BAR_MODELS and rule.shown and all(isinstance(kinds.get(c), NUMERIC) for c in BAR_COLUMNS)
+
+
+def lost_clocks(out: DataFrame, inputs: dict[str, Known]) -> list[str]:
+    """Which columns of when a row became known a query's answer leaves out, changes or computes, and so can't be matched on."""
+    found = lineage(out)
+    kinds = {f.name: f.dataType for f in out.schema}
+    notes = []
+    for rid in found.relations:
+        if rid not in inputs:
+            continue
+        for f in inputs[rid].df.schema:
+            if (f.metadata or {}).get("role") != "available":
+                continue
+            if kinds.get(f.name) != f.dataType:
+                notes.append(f"{f.name} of {rid} is left out: keep it, with its name and type, to match point in time.")
+            elif not any((rid, f.name) == s or found.same((rid, f.name), s) for s in found.columns.get(f.name, ())):
+                notes.append(f"{f.name} is computed, so it doesn't show when the rows of {rid} became known.")
+            elif found.from_others or found.grouped:
+                notes.append(f"{f.name} of {rid} stands beside rows made from others ({', '.join(found.notes) or 'groups'}), so it may be earlier than what they say.")
+    return notes
+
+
 def _newest(rules: list[RowsOf]) -> datetime | None:
     return max((r.fetched_at for r in rules if r.fetched_at), default=None)
 
