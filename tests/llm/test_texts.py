@@ -242,6 +242,12 @@ def test_entities_go_and_formats_stay():
     assert pii.rewrite(clean, b"key", {}) == (clean, [])
 
 
+def test_long_numbers_are_no_cards():
+    kinds = lambda t: [e.kind for e in pii.detect(t)]
+    assert kinds("pay 4111111111111111 or 4111-1111-1111-1112 now") == ["card", "card"]
+    assert kinds("row 4111111111111112 of 9807915762804490, 1234567812345670") == []
+
+
 def test_documents_keep_their_rows(spark):
     rows = [(1, PRIVATE, "a"), (1, PRIVATE, "b"), (2, None, None), (3, "", None), (None, "10.1.2.3", None), (4, "x " * 20_000 + "10.1.2.3", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string").selectExpr("*", "1 AS id", "2 AS again", "3 AS c0")

@@ -94,6 +94,11 @@ def _luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
 
 
+def is_card(value: str) -> bool:
+    """Digits in groups are a card's; a bare number is one if its check digit holds and it begins as issuers' numbers do."""
+    return not value.isdigit() or (value[0] in "23456" and _luhn(value) % 10 == 0)
+
+
 def _fitted(taken: list[Entity], more: list[Entity]) -> list[Entity]:
     """Both lists in order of their starts, without those of `more` that overlap others; one pass over both."""
     out: list[Entity] = []
@@ -149,7 +154,7 @@ def detect(text: str | None) -> list[Entity]:
         found = _fitted(found, [Entity("email", *m.span(), m[0]) for m in _EMAIL.finditer(text)])
     if any(c in text for c in "0123456789"):
         for kind, pattern in (("ip", _IP), ("iban", _IBAN), ("card", _CARD), ("ssn", _SSN), ("phone", _PHONE)):
-            found = _fitted(found, [Entity(kind, *m.span(), m[0]) for m in pattern.finditer(text)])
+            found = _fitted(found, [Entity(kind, *m.span(), m[0]) for m in pattern.finditer(text) if kind != "card" or is_card(m[0])])
     return _fitted(found, _names(text))
 
 
