@@ -20,7 +20,7 @@ def spark(tmp_path_factory):
 
     shared = tmp_path_factory.mktemp("shared")
     extra = {
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{shared}",
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{shared}",
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     }
     session = make_session("local[4]", "tests", **extra)
