@@ -154,3 +154,35 @@ def test_answers(spark, tmp_path):
     assert clocked_ancestor(store, c) == (a, "known") and clocked_ancestor(store, a) is None
     with pytest.raises(Refusal):
         envelope("t", "terrible")
+
+
+def test_refresh_by_age(spark, tmp_path):
+    from datetime import timedelta
+
+    from vantidal.sources.refresh import Slice, refresh
+
+    part, hour, calls = Slice(spark, str(tmp_path), "rates"), timedelta(hours=1), []
+
+    def fetch():
+        calls.append(1)
+        return spark.range(len(calls), len(calls) + 1)
+
+    with pytest.raises(Refusal):
+        refresh(part, fetch, hour, "local")
+    assert refresh(part, fetch, hour, now=NOW)[1] and not refresh(part, fetch, hour, now=NOW + hour / 2)[1]
+    rows, fetched = refresh(part, fetch, hour, now=NOW + 2 * hour)
+    assert fetched and sorted(r.id for r in rows.collect()) == [1, 2] and not refresh(part, fetch, hour, "local", NOW + 9 * hour)[1]
+    assert refresh(part, fetch, hour, "always", NOW)[1] and len(calls) == 3
+    with pytest.raises(Refusal):
+        refresh(part, fetch, hour, "sometimes")
+
+
+def test_models_of_a_folder(tmp_path):
+    from vantidal.schema.models import load_models
+
+    (tmp_path / "a.json").write_text('{"title": "A", "type": "object", "properties": {"x": {"type": "integer"}, "k": {"type": "string", "format": "date-time", "x-role": "available"}}, "required": ["x"], "x-time": "k"}')
+    got = load_models(str(tmp_path))
+    assert list(got) == ["A"] and got["A"].available == "k" and got["A"].time == "k"
+    (tmp_path / "b.json").write_text("[]")
+    with pytest.raises((Refusal, AttributeError)):
+        load_models(str(tmp_path))

@@ -190,3 +190,93 @@ def records_filing_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders")
     raw = o.select(F.col("o_orderkey").cast("string").alias("accession_number"), F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"), F.col("o_orderstatus").alias("form"), F.to_date("o_orderdate").alias("filing_date"))
     return rec.filing_hits(_landed(spark, raw, "FilingHit"), ["F", "P"], ["3", "4", "5"], "1996-01-01", limit=10, offset=5).select("accession_number", "filing_date")
+
+
+# --- Feeds ---------------------------------------------------------------------------------------
+
+
+def _feeds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Nations as an RSS feed and suppliers' nations as an Atom feed: some items are in both."""
+    from vantidal.sources.landed import atom, feed
+
+    root = f"{shared_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    delete_on_exit(spark, root)
+    n = load(spark, sf_dir, "nation")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("n_nationkey"))
+    item = F.concat(F.lit("<item><title>"), "n_name", F.lit("</title><link>http://x/"), "n_nationkey", F.lit("</link><pubDate>"), F.date_format(day, "EEE, d MMM yyyy"), F.lit(" 00:00:00 +0000</pubDate><guid>g"), "n_nationkey", F.lit("</guid></item>"))
+    entry = F.concat(
+        F.lit('<entry><title>again '), "n_name", F.lit('</title><link rel="self" href="http://self"/><link href="http://x/'), "n_nationkey", F.lit('"/><updated>'), F.date_format(day, "yyyy-MM-dd'T'00:00:00'Z'"),
+        F.lit("</updated><id>"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("g")).otherwise(F.lit("a")), "n_nationkey", F.lit("</id></entry>"),
+    )
+    for name, rows, tag in (("rss", n.filter("n_nationkey < 15").select(item.alias("value")), "rss"), ("atom", n.filter("n_nationkey >= 10").select(entry.alias("value")), "feed")):
+        whole = rows.coalesce(1).groupBy().agg(F.concat(F.lit(f"<{tag}>"), F.array_join(F.collect_list("value"), ""), F.lit(f"</{tag}>")).alias("value"))
+        whole.write.text(f"{root}/{name}")
+    return [feed(spark, f"{root}/rss"), atom(spark, f"{root}/atom")]
+
+
+@query("feed_rss", "SELECT n_name AS title, 'http://x/' || n_nationkey AS link, (DATE '2024-01-01' + n_nationkey)::TIMESTAMP AS published, 'g' || n_nationkey AS guid FROM nation WHERE n_nationkey < 15")
+def feed_rss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feeds(spark, sf_dir)[0]
+
+
+@query("feed_atom", "SELECT 'again ' || n_name AS title, 'http://x/' || n_nationkey AS link, (DATE '2024-01-01' + n_nationkey)::TIMESTAMP AS published, CASE WHEN n_nationkey % 2 = 0 THEN 'g' ELSE 'a' END || n_nationkey AS guid FROM nation WHERE n_nationkey >= 10")
+def feed_atom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feeds(spark, sf_dir)[1]
+
+
+@query(
+    "news_official",
+    """SELECT CASE WHEN n_nationkey < 15 THEN n_name ELSE 'again ' || n_name END AS title, CASE WHEN n_nationkey < 15 OR n_nationkey % 2 = 0 THEN 'g' ELSE 'a' END || n_nationkey AS guid
+FROM nation WHERE n_nationkey BETWEEN 5 AND 20 AND lower(n_name) LIKE '%a%'""",
+)
+def news_official(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of two feeds, each once, by guid and by link, within a window and with a word."""
+    from vantidal.sources.landed import news_of_feeds
+
+    rss, atom_ = _feeds(spark, sf_dir)
+    out = news_of_feeds([rss, atom_], None, "2024-01-06", "2024-01-21")
+    plain = F.regexp_replace(F.lower("title"), "^again ", "")
+    return out.filter(plain.contains("a")).select("title", "guid")
+
+
+# --- Further aggregates --------------------------------------------------------------------------
+
+
+@query("agg_entropy", "SELECT user_id, round(entropy(event_type), 8) AS entropy FROM events GROUP BY user_id")
+def agg_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantidal.operators.relational import entropy
+
+    return entropy(load(spark, sf_dir, "events"), ["user_id"], "event_type").withColumn("entropy", F.round("entropy", 8))
+
+
+@query("agg_histogram", "SELECT n_regionkey, k AS name_length, n FROM (SELECT n_regionkey, unnest(map_entries(histogram(length(n_name)))) AS e FROM nation GROUP BY n_regionkey), LATERAL (SELECT e.key::BIGINT AS k, e.value::BIGINT AS n)")
+def agg_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantidal.operators.relational import value_counts
+
+    n = load(spark, sf_dir, "nation").select("n_regionkey", F.length("n_name").cast("long").alias("name_length"))
+    return value_counts(n, ["n_regionkey"], "name_length")
+
+
+@query(
+    "agg_more",
+    """SELECT event_type, bit_and(event_id) AS a, bit_or(event_id) AS b, arg_min(event_id, value) AS c, max(ts) AS d, round(regr_r2(value, user_id), 8) AS e, regr_count(value, user_id)::BIGINT AS f, round(regr_avgx(value, user_id), 6) AS g,
+  round(var_pop(value), 4) AS h, round(product(1 + value / 1e6), 8) AS i, count_if(value > 50)::BIGINT AS j, round(kurtosis(value), 4) AS k FROM (SELECT * FROM events WHERE event_id % 3 = 0) GROUP BY event_type""",
+)
+def agg_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, v, u = load(spark, sf_dir, "events").filter("event_id % 3 = 0"), F.col("value"), F.col("user_id")
+    n = F.count("value")
+    k = ((n + 1) * F.kurtosis("value") + 6) * (n - 1) / ((n - 2) * (n - 3))
+    return e.groupBy("event_type").agg(
+        F.bit_and("event_id").alias("a"), F.bit_or("event_id").alias("b"), F.min_by("event_id", "value").alias("c"), F.max("ts").alias("d"), F.round(F.regr_r2(v, u.cast("double")), 8).alias("e"), F.regr_count(v, u).alias("f"),
+        F.round(F.regr_avgx(v, u.cast("double")), 6).alias("g"), F.round(F.var_pop("value"), 4).alias("h"), F.round(F.exp(F.sum(F.log1p(v / 1e6))), 8).alias("i"), F.count_if(v > 50).alias("j"), F.round(k, 4).alias("k"),
+    )
+
+
+@query("agg_approximate", "SELECT event_type, true AS distinct_near, true AS quantile_near FROM events GROUP BY event_type")
+def agg_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate aggregates are near the exact ones: distinct users within a tenth, the median within two percent of ranks."""
+    e = load(spark, sf_dir, "events")
+    out = e.groupBy("event_type").agg(
+        F.approx_count_distinct("user_id").alias("a"), F.countDistinct("user_id").alias("b"), F.percentile_approx("value", 0.5, 1000).alias("m"), F.percentile("value", F.array(F.lit(0.48), F.lit(0.52))).alias("r")
+    )
+    return out.select("event_type", (F.abs(F.col("a") - F.col("b")) <= 0.1 * F.col("b")).alias("distinct_near"), F.col("m").between(F.col("r")[0], F.col("r")[1]).alias("quantile_near"))

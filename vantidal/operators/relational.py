@@ -81,6 +81,18 @@ def absent_map(columns: list[str], code: str) -> Column:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
+def value_counts(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """How often each value that isn't null occurs in each group: a histogram as rows, so no group is gathered."""
+    return df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+
+
+def entropy(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """The entropy in bits of a column's values in each group; 0 without values."""
+    counts = value_counts(df, by, column).groupBy(*by).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log2("n")).alias("s"))
+    bits = F.log2("t") - F.col("s") / F.col("t")
+    return df.select(*by).distinct().join(counts.select(*by, bits.alias("entropy")), by, "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
+
+
 def column_summary(df: DataFrame) -> DataFrame:
     """column, kind, nulls, least and greatest (as text, cut to 64 characters) of every column, in one pass.
 

@@ -89,6 +89,20 @@ def from_json_schema(text: str) -> Model:
     return Model(j.get("title", ""), T.StructType(fields), j.get("x-time"), j.get("x-group"), tuple(j.get("x-values", ())), units=units, available=available)
 
 
+def load_models(folder: str) -> dict[str, Model]:
+    """The models of a folder of JSON Schema files, by name; a file that is none of an object is refused by name."""
+    from pathlib import Path
+
+    out = {}
+    for path in sorted(Path(folder).glob("*.json")):
+        try:
+            m = from_json_schema(path.read_text())
+        except (Refusal, json.JSONDecodeError) as e:
+            raise Refusal("invalid_arguments", f"{path.name} is no model: {e}") from None
+        out[m.name or path.stem] = m
+    return out
+
+
 def _kind(p: dict) -> T.DataType:
     kind, form = p.get("type"), p.get("format")
     if kind == "string":

@@ -151,5 +151,39 @@ def feed(spark: SparkSession, path: str) -> DataFrame:
     return items.select("title", "link", published.alias("published"), "guid")
 
 
+def atom(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom feeds in the columns of `feed`; the link that isn't the entry's own document is left out."""
+    whole = spark.read.text(path, wholetext=True)
+    if not whole.filter(F.upper("value").rlike(r"<!\s*(DOCTYPE|ENTITY)")).isEmpty():
+        raise Refusal("invalid_arguments", "A feed declares a document type or entities.")
+    link = T.ArrayType(T.StructType([T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType())]))
+    schema = T.StructType([T.StructField("title", T.StringType()), T.StructField("link", link), *(T.StructField(c, T.StringType()) for c in ("published", "updated", "id"))])
+    entries = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    return entries.select("title", F.get(own, F.lit(0))["_href"].alias("link"), instant(F.coalesce("published", "updated")).alias("published"), F.col("id").alias("guid"))
+
+
+def news_of_feeds(feeds: list[DataFrame], query: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Items of several feeds: of those that share a guid or a link the first feed's stays; words are looked for in the title,
+    whatever the case; newest first."""
+    rows = None
+    for i, f in enumerate(feeds):
+        one = f.withColumn("rank", F.lit(i))
+        rows = one if rows is None else rows.unionByName(one)
+    for key in ("guid", "link"):
+        known = rows.filter(F.col(key).isNotNull())
+        order = F.struct("rank", F.coalesce("guid", F.lit("")), F.coalesce("link", F.lit("")))
+        rest = [c for c in rows.columns if c != key]
+        first = known.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("__row")).select(key, "__row.*").select(*rows.columns)
+        rows = first.unionByName(rows.filter(F.col(key).isNull()))
+    for word in (query or "").lower().split():
+        rows = rows.filter(F.lower("title").contains(word))
+    if start:
+        rows = rows.filter(F.col("published") >= F.lit(start).cast("timestamp"))
+    if end:
+        rows = rows.filter(F.col("published") <= F.lit(end).cast("timestamp"))
+    return rows.drop("rank").orderBy(F.col("published").desc_nulls_last(), "guid")
+
+
 def to_model(df: DataFrame, model: Model) -> DataFrame:
     return conform(df, model)
