@@ -34,3 +34,17 @@ def test_rare_language_is_told(spark):
 def test_beginnings_are_characters():
     at = mixing.word_cells("ÉÈÇABCDE,".encode(), 1 << 18)
     assert set(mixing.word_cells("éèçabc".encode(), 1 << 18)) <= set(at) and len(set(at)) == 6
+
+
+def test_reader_finds_the_telling_cells_of_a_word():
+    import numpy as np
+
+    p = mixing.Mix(cells=1 << 8)
+    rng = random.Random(1)
+    telling = np.array(sorted(rng.sample(range(p.cells), 60)))
+    reader = mixing.Domains(["a"], telling, np.zeros((60, 1)), np.zeros(1), 1.0).reader(p)
+    letters = "abcDEF.,!éÈß1"
+    for _ in range(2000):
+        word = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))).encode()
+        want = sorted({int(np.searchsorted(telling, c)) for c in mixing.word_cells(word, p.cells) if c in telling})
+        assert sorted(set(reader.found[reader._look(word)])) == want

@@ -82,10 +82,20 @@ class Reader:
         self.words = Words(self._look)
 
     def _look(self, word: bytes) -> int:
-        at = self.at
-        hit = tuple([at[c] for c in word_cells(word, self.p.cells, self.p.beginnings) if c in at])
+        """The number of the word's telling cells in `found`; 0 without any. What `word_cells` says, without the cells that don't tell."""
+        at, cells = self.at, self.p.cells
+        w = word.strip(_SIGNS).lower()
+        if w.isascii():
+            hit = [at[c] for c in [xxh3(w[:64]) % cells] if c in at] if w else []
+            size = len(w)
+            for n in self.p.beginnings:
+                if n < size and (c := xxh3(w[:n]) % cells) in at:
+                    hit.append(at[c])
+        else:
+            hit = [at[c] for c in word_cells(word, cells, self.p.beginnings) if c in at]
         if not hit:
             return 0
+        hit = tuple(hit)
         self.found.append(hit)
         return len(self.found) - 1
 
