@@ -42,12 +42,12 @@ same(
 )
 same(
     "sql_arithmetic",
-    "SELECT o_orderkey, round(o_totalprice / (o_orderkey % 4), 4) AS a, o_orderkey // 7 AS b, o_orderkey % 7 AS c, (o_orderkey % 5) ^ 2 AS d, 2 ** (o_orderkey % 3) AS e, o_custkey / 2 AS f, -o_custkey / 4 / 2 AS g, 7 // 2 * 3 AS h, 1 / 0 AS i FROM orders",
+    "SELECT o_orderkey, round(o_totalprice / (o_orderkey % 4), 4) AS a, o_orderkey // 7 AS b, o_orderkey % 7 AS c, (o_orderkey % 5) ^ 2 AS d, 2 ** (o_orderkey % 3) AS e, o_custkey / 2 AS f, -o_custkey / 4 / 2 AS g, CAST(7 // 2 * 3 AS BIGINT) AS h, 1 / 0 AS i FROM orders",
     "orders",
 )
 same(
     "sql_math",
-    """SELECT o_orderkey, log(o_totalprice) > 4 AS a, round(log(2, o_totalprice), 6) AS b, round(ln(o_totalprice), 6) AS c, sign(o_custkey - 500) AS d, greatest(o_custkey, NULL, 700) AS e, least(o_custkey, 700) AS f, round(sqrt(o_totalprice), 6) AS g,
+    """SELECT o_orderkey, log(o_totalprice) > 4 AS a, round(log(2, o_totalprice), 6) AS b, round(ln(o_totalprice), 6) AS c, CAST(sign(o_custkey - 500) AS DOUBLE) AS d, greatest(o_custkey, NULL, 700) AS e, least(o_custkey, 700) AS f, round(sqrt(o_totalprice), 6) AS g,
   round(o_totalprice, -2) AS h, abs(o_custkey - 500) AS i, mod(o_orderkey, 9) AS j FROM orders""",
     "orders",
 )
@@ -59,12 +59,12 @@ same(
 same(
     "sql_dates",
     """SELECT event_id, strftime(ts, '%Y/%m/%d at %H:%M') AS a, dayname(ts) AS b, monthname(ts) AS c, dayofweek(ts) AS d, date_part('dow', ts) AS e, isodow(ts) AS f, extract(hour FROM ts) AS g,
-  date_diff('day', ts, TIMESTAMP '2024-03-01') AS h, date_diff('month', TIMESTAMP '2023-11-30', ts) AS i, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS j, date_trunc('week', ts) AS k,
+  CAST(date_diff('day', ts, TIMESTAMP '2024-03-01') AS BIGINT) AS h, CAST(date_diff('month', TIMESTAMP '2023-11-30', ts) AS BIGINT) AS i, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS j, date_trunc('week', ts) AS k,
   ts + INTERVAL 1 DAY AS l, ts - INTERVAL '90 minutes' AS m, time_bucket(INTERVAL '6 hours', ts) AS n, epoch_ms(ts) AS o, last_day(ts) AS p, year(ts) AS q FROM events""".replace("dayofweek(ts) AS d", "CAST(dayofweek(ts) AS BIGINT) AS d").replace("isodow(ts) AS f", "CAST(isodow(ts) AS BIGINT) AS f").replace("extract(hour FROM ts) AS g", "CAST(extract(hour FROM ts) AS BIGINT) AS g").replace("date_part('dow', ts) AS e", "CAST(date_part('dow', ts) AS BIGINT) AS e").replace("year(ts) AS q", "CAST(year(ts) AS BIGINT) AS q"),
     "events",
 )
 same("sql_strptime", "SELECT o_orderkey, strptime(strftime(o_orderdate, '%d.%m.%Y %H:%M:%S'), '%d.%m.%Y %H:%M:%S') AS t FROM orders", "orders")
-same("sql_generate_series", "SELECT g.i, count(p_partkey) AS n FROM generate_series(1, 60, 3) AS g(i) LEFT JOIN part ON p_size = g.i GROUP BY g.i", "part")
+same("sql_generate_series", "SELECT CAST(g.i AS BIGINT) AS i, count(p_partkey) AS n FROM generate_series(1, 60, 3) AS g(i) LEFT JOIN part ON p_size = g.i GROUP BY g.i", "part")
 same("sql_unnest", f"WITH {E} SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word", "events", "part")
 same("sql_nested_qualify", f"WITH {E}, top AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY v DESC, event_id) <= 2) SELECT t.user_id, t.event_id, q.n FROM top t JOIN (SELECT user_id, count(*) OVER (PARTITION BY user_id) AS n FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts) = 1) q USING (user_id)", "events")
 same("sql_json", "SELECT event_id, json_extract_string(props, '$.k') AS a, props->>'k' AS b, CAST(props->>'k' AS BIGINT) + 1 AS c, json_extract_string('{\"x\": {\"y\": [1, 2]}}', '$.x.y[1]') AS d, CAST(json_array_length('[1, 2, 3]') AS BIGINT) AS e FROM events", "events")
@@ -113,3 +113,9 @@ same("sql_correlated", "SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE
 same("sql_finite", "SELECT event_id, isfinite(value / (event_id % 2)) AS a, isinf(value / (event_id % 2)) AS b, isnan(0.0 / (event_id % 2)) AS c FROM events", "events")
 same("sql_hash_group", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS m, min(ts) AS a, max(ts) AS z, mode(event_type) AS same FROM events GROUP BY event_type", "events")
 same("sql_nine_tenths", "SELECT n_name, s FROM (SELECT n_name, round(sum(s_acctbal), 2) AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name) WHERE s > 0 ORDER BY s DESC, n_name FETCH FIRST 5 ROWS ONLY".replace(" FETCH FIRST 5 ROWS ONLY", " LIMIT 5"), "supplier", "nation")
+same("sql_distinct_on", f"WITH {E} SELECT DISTINCT ON (user_id) user_id, event_id, v FROM e ORDER BY user_id, v DESC, event_id", "events")
+same("sql_similar_to", "SELECT o_orderkey FROM orders WHERE o_orderpriority SIMILAR TO '[12]-.*' AND NOT o_orderstatus SIMILAR TO 'F|P'", "orders")
+same("sql_fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey FETCH FIRST 17 ROWS ONLY", "orders")
+same("sql_star_replace", "SELECT * REPLACE (upper(r_name) || '!' AS r_name) FROM region", "region")
+same("sql_maps", "SELECT n_nationkey, MAP {'a': n_nationkey, 'b': 1}['a'] AS a, CAST(cardinality(MAP {'a': 1}) AS BIGINT) AS c FROM nation", "nation")
+same("sql_count_all", "SELECT n_regionkey, count() AS n FROM nation GROUP BY ALL", "nation")

@@ -1,4 +1,4 @@
-"""SQL as the reference dialect means it, rewritten in Spark's terms before parsing.
+"""SQL of an analytic dialect, rewritten in Spark's terms before parsing.
 
 The text is cut into tokens and nested groups. Each query level is rewritten by itself, the innermost first: ASOF JOIN,
 QUALIFY and UNION BY NAME; nulls last in every ORDER BY; `x[1]` counting from 1, `[a, b]` and `{'a': x}`, `x::type`, `/`, `//`,
@@ -148,10 +148,14 @@ class Query:
             yield text
 
 
-def register_functions(spark: SparkSession) -> None:
-    """Temporary SQL functions; Catalyst puts their bodies in place."""
+def register_functions(spark: SparkSession, sql: str) -> None:
+    """The temporary SQL functions that a text calls, once a session; Catalyst puts their bodies in place."""
+    known = spark.__dict__.setdefault("_own_functions", set())
+    called = set(re.findall(r"\w+(?=\()", sql.lower()))
     for head, body in OWN.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+        if (name := head.partition("(")[0]) in called and name not in known:
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
+            known.add(name)
 
 
 OWN = {
@@ -440,7 +444,20 @@ class Rewriter:
         """One query level: its tokens without the parentheses around them."""
         if len(seq) == 1 and _is_query(seq[0]):
             return f"({self.query(seq[0][1:-1])})"
-        return self.run(self._qualified(self._asof(seq)))
+        return self.run(self._qualified(self._distinct_on(self._asof(seq))))
+
+    def _distinct_on(self, seq: list) -> list:
+        """SELECT DISTINCT ON (keys): the first row of each key in the query's order."""
+        ups = [_up(t) for t in seq]
+        at = next((i for i in range(len(seq) - 3) if ups[i : i + 3] == ["SELECT", "DISTINCT", "ON"] and _group(seq[i + 3])), None)
+        if at is None:
+            return seq
+        order = next((i for i in range(at, len(seq) - 1) if ups[i : i + 2] == ["ORDER", "BY"]), None)
+        end = next((i for i in range(at, len(seq)) if ups[i] in ("ORDER", "LIMIT", "OFFSET")), len(seq))
+        stop = next((i for i in range(order, len(seq)) if ups[i] in ("LIMIT", "OFFSET")), len(seq)) if order is not None else None
+        keys = seq[at + 3][1:-1]
+        window = ["(", "PARTITION", "BY", *keys, *(seq[order:stop] if order is not None else ["ORDER", "BY", *keys]), ")"]
+        return [*seq[: at + 1], *seq[at + 4 : end], "QUALIFY", "row_number", ["(", ")"], "OVER", window, "=", "1", *seq[end:]]
 
     def _qualified(self, seq: list) -> list:
         ups = [_up(t) for t in seq]
@@ -534,6 +551,16 @@ class Rewriter:
                 names = seq[i + 1]
                 out.append(f"EXCEPT {_flat([names])}" if _group(names) else f"EXCEPT ({names})")
                 i += 2
+            elif up == "REPLACE" and out and (out[-1] == "*" or out[-1].endswith(".*")) and i + 1 < len(seq) and _group(seq[i + 1]):
+                items = _cut(seq[i + 1][1:-1])
+                out.append(f"EXCEPT ({', '.join(_flat(x[-1:]) for x in items)}), {', '.join(self.run(x) for x in items)}")
+                i += 2
+            elif up == "SIMILAR" and i + 2 < len(seq) and _up(seq[i + 1]) == "TO":
+                text, i = self._term(seq, i + 2)
+                out.append(f"RLIKE concat('^(?:', {text}, ')$')")
+            elif up == "FETCH" and i + 2 < len(seq) and _up(seq[i + 1]) in ("FIRST", "NEXT"):
+                out.append(f"LIMIT {_flat(seq[i + 2 : i + 3])}")
+                i += next((k + 1 for k in range(len(seq) - i) if _up(seq[i + k]) == "ONLY"), 3)
             elif up == "LAMBDA":  # lambda x, y: body
                 colon = seq.index(":", i) if ":" in seq[i:] else None
                 if colon is None:
@@ -615,6 +642,11 @@ class Rewriter:
                 if any(len(p) != 2 for p in pairs):
                     raise Refusal("sql_parse", "A struct is {'name': value, ...}.")
                 text = f"named_struct({', '.join(f'{self._name(k)}, {self.run(v)}' for k, v in pairs)})"
+        elif up == "MAP" and _group(after, "{"):
+            pairs = [_cut(x, ":") for x in _cut(after[1:-1])]
+            if any(len(p) != 2 for p in pairs):
+                raise Refusal("sql_parse", "A map is MAP {key: value, ...}.")
+            text, i = f"map({', '.join(f'{self.run(k)}, {self.run(v)}' for k, v in pairs)})", i + 2
         elif up == "CASE":
             depth, k = 1, i + 1
             while k < len(seq) and depth:
@@ -718,6 +750,8 @@ class Rewriter:
         distinct = bool(inner) and _up(inner[0]) == "DISTINCT"
         args = [self.run(a) for a in _cut(inner[1:] if distinct else inner)]
         c = Call(low, args, order, suffix, distinct, in_from)
+        if low == "count" and not args:
+            args = ["*"]
         if low in BY_TYPE and len(args) == 1:
             return self._choice(*(form.format(args[0]) for form in BY_TYPE[low])), i
         try:

@@ -197,6 +197,7 @@ def checked_frame(spark: SparkSession, query: compat.Query, live: set[str]) -> D
     error: Exception | None = None
     for text in query.texts():
         checked = check(spark, text, live)
+        compat.register_functions(spark, text)
         try:
             return query.finish(DataFrame(jvm.Dataset.ofRows(spark._jsparkSession, checked.plan), spark))
         except AnalysisException as e:
@@ -253,7 +254,6 @@ def run(spark: SparkSession, sql: str, results: dict[str, DataFrame], most: int
     own = spark.newSession()
     for key, value in SETTINGS.items():
         own.conf.set(key, value)
-    compat.register_functions(own)
     for name, df in results.items():
         _move(df, own).createOrReplaceTempView(name)
     query = compat.rewrite(own, sql)
