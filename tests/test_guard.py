@@ -123,3 +123,28 @@ def test_lineage(spark):
 
 def test_unique_names():
     assert unique_names(["a", "A", "b", "a"]) == ["a", "A_1", "b", "a_2"]
+
+
+def test_any_text_is_read_or_refused(spark):
+    """Random tokens: the rewriter gives a text or refuses, and never fails otherwise; what it gives is parsed or refused."""
+    import random
+
+    rng = random.Random(5)
+    words = "SELECT FROM WHERE a x y ( ) [ ] { } , . :: -> ->> / // * ^ = < 'q' \"x\" 1 2.5 CASE WHEN THEN ELSE END ORDER BY ASC DISTINCT ON QUALIFY ASOF JOIN OVER FILTER sum len list arg_max CAST AS INT EXCLUDE LAMBDA : UNION NAME ALL INTERVAL DAY IN NULLS MAP FETCH FIRST SIMILAR TO REPLACE EXTRACT LIMIT date_diff strftime ;".split(" ")
+    read = 0
+    for n in range(3000):
+        text = "SELECT " + " ".join(rng.choice(words) for _ in range(rng.randrange(1, 14)))
+        try:
+            sql = rewrite(spark, text).sql
+            read += 1
+        except Refusal:
+            continue
+        if n % 10 == 0:
+            try:
+                guard.check(spark, sql.replace("\0", ""), {"a"})
+            except Refusal:
+                pass
+    assert read > 300
+    for deep in ("SELECT " + "(" * 9000 + "1" + ")" * 9000, "SELECT " + "[" * 5000 + "]" * 5000, "SELECT " + "CASE WHEN " * 2000):
+        with pytest.raises(Refusal):
+            guard.run(spark, deep, {"a": spark.range(1)})

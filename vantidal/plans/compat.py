@@ -788,7 +788,16 @@ def _percent(query: Query) -> None:
 
 
 def rewrite(spark: SparkSession, sql: str) -> Query:
-    """The statement in Spark's terms."""
+    """The statement in Spark's terms; what can't be read is refused."""
+    try:
+        return _rewrite(spark, sql)
+    except RecursionError:
+        raise Refusal("sql_parse", "The statement is nested too deeply.") from None
+    except (IndexError, ValueError, KeyError) as e:
+        raise Refusal("sql_parse", f"The statement can't be read ({type(e).__name__}).") from None
+
+
+def _rewrite(spark: SparkSession, sql: str) -> Query:
     query = Query((sql or "").strip().rstrip("; \t\r\n"))
     _sample(query)
     _percent(query)
