@@ -44,7 +44,7 @@ def test_repeated_ids_are_documents_of_their_own(spark, sf):
     rows = [(1, words), (2, words + " x"), (2, "something else altogether that nobody repeats anywhere"), (3, "p q r s t u v"), (3, "p q r s t u v")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
     got = sorted((r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf).collect())
-    assert [i for i, _ in got] == [1, 2, 3] and got[1][1].startswith("something")
+    assert [i for i, _ in got] in ([1, 2, 3], [2, 2, 3]) and sum(t.startswith("something") for _, t in got) == 1 and sum(t.startswith("w0 w1") for _, t in got) == 1
 
 
 def test_few_texts_are_sent(spark):
