@@ -39,8 +39,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, linking: near_dedup.Linking | None = None) -> DataFrame:
     """Keeps the document of least id of each component; rows with a null id all stay, and so do texts without a word.
 
-    Rows that repeat an id are documents of their own, known by a hash of id and text (after all other ids): of identical ones a single row
-    stays (the least in the order of the further columns), others go only if they are linked with a kept document.
+    Rows that repeat an id with different texts are documents of their own: one goes by the id, the others come after all
+    ids, and each goes only if it is linked with a kept document. Of identical rows a single one stays (the least in the
+    order of the further columns).
     Only texts that a map of the dropped ids points at are shuffled. Further columns are left out.
     STAGES runs it with LINKING; without one it links as op1 does.
     """
@@ -48,10 +49,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, linking:
     again = through_store(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     keyed = docs.withColumn("__key", F.col("doc_id"))
     if not again.isEmpty():
-        # Beyond the ids that tables use, so that of a group a document with an id of its own stays.
-        own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2).bitwiseOR(F.lit(1 << 62))
-        rows = docs.join(again, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("__row"))
-        rows = rows.select("doc_id", "text", "__row.*", own.alias("__key")).select(*keyed.columns)
+        h = F.xxhash64("doc_id", "text")
+        rows = docs.join(again, "doc_id", "left_semi").withColumn("__h", h).groupBy("doc_id", "text", "__h").agg(F.min(F.struct("lang", "source", "n_chars")).alias("__row"))
+        rows = through_store(rows, "repeats")
+        least = through_store(rows.groupBy("doc_id").agg(F.min("__h").alias("__least")), "least")
+        # One text of an id goes by the id, others by numbers beyond those that tables use.
+        other = F.shiftrightunsigned("__h", 2).bitwiseOR(F.lit(1 << 62))
+        key = F.when(F.col("__h") == F.col("__least"), F.col("doc_id")).otherwise(other)
+        rows = rows.join(least, "doc_id").select("doc_id", "text", "__row.*", key.alias("__key")).select(*keyed.columns)
         keyed = through_store(keyed.join(again, "doc_id", "left_anti").unionByName(rows), "keyed")
     found = near_dedup.near_duplicates(keyed, linking, id_col="__key")
     gone = through_store(found.filter(~F.col("kept")).select("__key"), "gone")
