@@ -259,7 +259,7 @@ def agg_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg_more",
-    """SELECT event_type, bit_and(event_id) AS a, bit_or(event_id) AS b, arg_min(event_id, value) AS c, max(ts) AS d, round(regr_r2(value, user_id), 8) AS e, regr_count(value, user_id)::BIGINT AS f, round(regr_avgx(value, user_id), 6) AS g,
+    """SELECT event_type, bit_and(event_id) AS a, bit_or(event_id) AS b, arg_min(event_id, (value, event_id)) AS c, max(ts) AS d, round(regr_r2(value, user_id), 8) AS e, regr_count(value, user_id)::BIGINT AS f, round(regr_avgx(value, user_id), 6) AS g,
   round(var_pop(value), 4) AS h, round(product(1 + value / 1e6), 8) AS i, count_if(value > 50)::BIGINT AS j, round(kurtosis(value), 4) AS k FROM (SELECT * FROM events WHERE event_id % 3 = 0) GROUP BY event_type""",
 )
 def agg_more(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +267,7 @@ def agg_more(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count("value")
     k = ((n + 1) * F.kurtosis("value") + 6) * (n - 1) / ((n - 2) * (n - 3))
     return e.groupBy("event_type").agg(
-        F.bit_and("event_id").alias("a"), F.bit_or("event_id").alias("b"), F.min_by("event_id", "value").alias("c"), F.max("ts").alias("d"), F.round(F.regr_r2(v, u.cast("double")), 8).alias("e"), F.regr_count(v, u).alias("f"),
+        F.bit_and("event_id").alias("a"), F.bit_or("event_id").alias("b"), F.min_by("event_id", F.struct("value", "event_id")).alias("c"), F.max("ts").alias("d"), F.round(F.regr_r2(v, u.cast("double")), 8).alias("e"), F.regr_count(v, u).alias("f"),
         F.round(F.regr_avgx(v, u.cast("double")), 6).alias("g"), F.round(F.var_pop("value"), 4).alias("h"), F.round(F.exp(F.sum(F.log1p(v / 1e6))), 8).alias("i"), F.count_if(v > 50).alias("j"), F.round(k, 4).alias("k"),
     )
 

@@ -20,7 +20,7 @@ same("sql_nulls_last", f"WITH {E} SELECT event_id, v, kind FROM e WHERE event_id
 same("sql_nulls_last_desc", f"WITH {E} SELECT event_id, v FROM e WHERE event_id < 300 ORDER BY v DESC, event_id LIMIT 200 OFFSET 20", "events")
 same(
     "sql_arg_max_nulls",
-    f"WITH {E} SELECT user_id, arg_max(v, event_id) AS newest, arg_min(v, event_id) AS oldest, arg_max(event_id, v) AS top, arg_max(v, event_id) FILTER (WHERE kind = 'view') AS view FROM e GROUP BY user_id",
+    f"WITH {E} SELECT user_id, arg_max(v, event_id) AS newest, arg_min(v, event_id) AS oldest, arg_max(event_id, v * 1000000 + event_id) AS top, arg_max(v, event_id) FILTER (WHERE kind = 'view') AS view FROM e GROUP BY user_id",
     "events",
 )
 same("sql_first_last", f"WITH {E} SELECT user_id, first(v ORDER BY event_id) AS a, last(v ORDER BY event_id) AS z, first(kind ORDER BY v DESC, event_id DESC) AS k FROM e GROUP BY user_id", "events")
