@@ -19,3 +19,30 @@ def test_sql_dates_to_the_millisecond(spark, sf):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
     want = con.execute(f"SELECT event_id, o FROM ({catalog.SQL['sql_dates']})").fetchall()
     assert sorted(tuple(r) for r in catalog.QUERIES["sql_dates"](spark, sf).select("event_id", "o").collect()) == sorted(want)
+
+
+def test_logarithms_of_nothing_and_less(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE a AS SELECT * FROM (VALUES ('none', NULL), ('zero', 0.0), ('zero', 2.0), ('plus', 4.0), ('plus', 9.0), ('plus', NULL), ('less', -1.0), ('less', 0.0)) AS v(k, x)")
+    rows = spark.createDataFrame([(k, None if x is None else float(x)) for k, x in con.execute("SELECT * FROM a").fetchall()], "k string, x double")
+    for sql in (
+        "SELECT k, round(geometric_mean(x), 6) AS a, round(geomean(x), 6) AS b FROM a GROUP BY k",
+        "SELECT k, round(ln(x), 6) AS a, round(log(x), 6) AS b, round(log2(x), 6) AS c, round(log10(x), 6) AS d, round(log(2, x), 6) AS e, round(log(0.5, x), 6) AS f FROM a",
+    ):
+        got = [tuple(r) for r in guard.run(spark, sql, {"a": rows}, None).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, con.execute(sql).fetchall()))
+
+
+def test_sql_statistics_with_zeros(spark, tmp_path):
+    """The table of this size has no value 0; larger ones do."""
+    import duckdb
+
+    assert catalog_sql.E
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 500 = 1 THEN 0 ELSE value END AS value, props FROM '/root/testdata/sf0.001/events.parquet'")
+    con.execute(f"COPY (SELECT * FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = con.execute(f"SELECT event_type, g FROM ({catalog.SQL['sql_statistics']})").fetchall()
+    assert any(g == 0 for _, g in want)
+    assert sorted(tuple(r) for r in catalog.QUERIES["sql_statistics"](spark, str(tmp_path)).select("event_type", "g").collect()) == sorted(want)
