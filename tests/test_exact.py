@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from vantidal import catalog, catalog_sql
+from vantidal.functions.numeric import safe_corr
 from vantidal.plans import guard
 
 
@@ -46,3 +49,25 @@ def test_sql_statistics_with_zeros(spark, tmp_path):
     want = con.execute(f"SELECT event_type, g FROM ({catalog.SQL['sql_statistics']})").fetchall()
     assert any(g == 0 for _, g in want)
     assert sorted(tuple(r) for r in catalog.QUERIES["sql_statistics"](spark, str(tmp_path)).select("event_type", "g").collect()) == sorted(want)
+
+
+def test_correlation_with_a_constant_in_many_parts(spark):
+    """Partial means of a constant are merged with rounding (1 / 49 * 49 < 1), which isn't a spread."""
+    parts = spark.range(0, 49 * 6, 1, 6).select(F.sin("id").alias("x"), F.lit(1.0).alias("c"))
+    found = parts.agg(safe_corr(F.col("x"), F.lit(1.0)).alias("a"), safe_corr(F.col("c"), F.col("x")).alias("b")).first()
+    assert (found.a, found.b) == (None, None)
+    got = guard.run(spark, "SELECT isnan(corr(x, 1.0)) AS a, isnan(corr(c, x)) AS b, corr(x, x) > 0.999 AS same FROM a", {"a": parts}).first()
+    assert (got.a, got.b, got.same) == (True, True, True)
+
+
+def test_correlation_is_of_rows_that_have_both(spark):
+    import duckdb
+
+    rows = [(1.0, 2.0), (2.0, 1.0), (3.0, 5.0), (None, 100.0), (50.0, None), (4.0, 4.0)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE a (x DOUBLE, y DOUBLE)")
+    con.executemany("INSERT INTO a VALUES (?, ?)", rows)
+    got = spark.createDataFrame(rows, "x double, y double").agg(F.round(safe_corr(F.col("x"), F.col("y")), 9).alias("c")).first().c
+    assert got == con.execute("SELECT round(corr(x, y), 9) FROM a").fetchone()[0]
+    odd = spark.createDataFrame([(1.0, float("nan")), (2.0, 3.0)], "x double, y double").agg(safe_corr(F.col("x"), F.col("y")).alias("c")).first().c
+    assert odd != odd

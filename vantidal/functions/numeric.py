@@ -17,11 +17,17 @@ def _over(c: Column, w: WindowSpec | None) -> Column:
 
 
 def safe_corr(a: Column, b: Column, w: WindowSpec | None = None) -> Column:
-    """Pearson's correlation within [-1, 1]; null where either side is constant or has one value."""
-    spread = _over(F.stddev_pop(a), w) * _over(F.stddev_pop(b), w)
-    value = F.try_divide(_over(F.covar_pop(a, b), w), spread)
+    """Pearson's correlation within [-1, 1] of the rows that have both; null where either side is constant or has one value.
+
+    What is constant is told by its least and greatest value: partial means are merged with rounding, so the spread of a
+    constant column isn't always 0.
+    """
+    paired = a.isNotNull() & b.isNotNull()
+    a, b = (F.when(paired, x.cast("double")) for x in (a, b))
+    varies = (_over(F.min(a), w) < _over(F.max(a), w)) & (_over(F.min(b), w) < _over(F.max(b), w))
+    value = F.try_divide(_over(F.covar_pop(a, b), w), _over(F.stddev_pop(a), w) * _over(F.stddev_pop(b), w))
     within = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))  # these skip nulls, so null is kept apart
-    return F.when((spread > 0) & (_over(F.count(a), w) > 1) & value.isNotNull(), within)
+    return F.when(varies & value.isNotNull(), F.when(F.isnan(value), value).otherwise(within))
 
 
 def ratio(a: Column, b: Column) -> Column:
