@@ -71,3 +71,62 @@ def test_correlation_is_of_rows_that_have_both(spark):
     assert got == con.execute("SELECT round(corr(x, y), 9) FROM a").fetchone()[0]
     odd = spark.createDataFrame([(1.0, float("nan")), (2.0, 3.0)], "x double, y double").agg(safe_corr(F.col("x"), F.col("y")).alias("c")).first().c
     assert odd != odd
+
+
+#: Where the digits that are written for a number, scaled, are told otherwise than the scaled number.
+HALVES = [57568.66305, 0.285, 1.005, 75524.77315, 2.675, -1.005, 322912.97175, 1e300, 0.0, float("inf"), float("-inf"), float("nan"), None, 123456.0, -0.5, 2.5]
+
+
+def test_rounding_tells_halves_after_scaling(spark):
+    import duckdb
+    import pyarrow as pa
+
+    xs = HALVES + [(i * 7919 % 100003) / 1000 + 5e-4 + i for i in range(3000)]
+    table = pa.table({"i": list(range(len(xs))), "x": pa.array(xs, pa.float64())})
+    con = duckdb.connect()
+    con.register("a", table)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    for sql in (
+        "SELECT i, round(x, 3) AS a, round(x, 2) AS b, round(x, -2) AS c, round(x, 4) AS d, round(x / 3, 6) AS e, round(x, 0) AS f, round(x, 400) AS g, round(x, -400) AS h FROM a",
+        "WITH q AS (SELECT i, round(round(x, 4), 3) AS r FROM a) SELECT i, r FROM q WHERE round(r, 2) > (SELECT round(min(r), 1) FROM q WHERE r = r)",
+        "SELECT round(x, 1) AS k, count(*) AS n, round(sum(x), 3) AS s, max(round(x, 3)) FILTER (WHERE round(x, 3) > 1) AS m FROM a GROUP BY round(x, 1) HAVING round(max(x), 2) > 0",
+        "SELECT i, round(max(x) OVER (PARTITION BY i % 40), 3) AS w, list_transform([x, 1.005::DOUBLE], lambda y: round(y, 2)) AS l FROM a",
+    ):
+        got = [tuple(r) for r in guard.run(spark, sql, {"a": rows}, None).collect()]
+        same = lambda rs: sorted(repr(tuple(v + 0.0 if isinstance(v, float) else v for v in r)) for r in rs)  # noqa: E731  0.0 is -0.0
+        assert same(got) == same(con.execute(sql).fetchall())
+
+
+def test_rounding_keeps_types_and_names(spark):
+    """A float of 1.15 is a little less, and 1.005 scaled is 100.49999999999999; a decimal 1.005 is a half."""
+    rows = spark.sql("SELECT 1.005D AS d, 1.005BD AS n, 25L AS b, 25 AS i, CAST(1.15 AS FLOAT) AS f")
+    got = guard.run(spark, "SELECT round(d, 2), round(n, 2) AS n, round(b, -1) AS b, round(i, -1) AS i, round(f, 1) AS f FROM a", {"a": rows})
+    assert got.columns == ["round(d, 2)", "n", "b", "i", "f"]
+    assert [k for _, k in got.dtypes] == ["double", "decimal(4,2)", "bigint", "int", "float"]
+    assert [str(v) for v in got.first()] == ["1.0", "1.01", "30", "30", "1.100000023841858"]
+
+
+def test_a_sign_binds_before_operations(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE a AS SELECT i, i - 2 AS x FROM range(5) t(i)")
+    sql = """SELECT i, -x / 4 / 2 AS a, -x ^ 2 AS b, (-2) ** 2 - -2 ^ 2 AS c, 8 / -x AS d, x - -x AS e, 3 - x ^ 2 AS f, 2 * -x ^ 2 AS g, CASE WHEN x > -1 THEN -x ELSE - 5 END AS h, -i::DOUBLE AS j, 2 ** -x AS k,
+  round(- i * 1.5::DOUBLE, - 1) AS l, -(x) / 2 AS m, abs(-x) - 1 AS n, CAST(-x % 2 AS BIGINT) AS o, -x // 2 AS p, [-x, 1 - x][-1] AS q, -round(x / 3, 2) AS r FROM a WHERE x BETWEEN -9 AND - -9 ORDER BY -x, -i LIMIT 9"""
+    got = guard.run(spark, sql, {"a": spark.sql("SELECT id AS i, id - 2 AS x FROM range(5)")}, None).collect()
+    assert [repr(tuple(r)) for r in got] == [repr(r) for r in con.execute(sql).fetchall()]
+
+
+def test_sql_arithmetic_of_any_prices(spark, tmp_path):
+    """Prices of many digits, among them some whose quotients are near halves of the last digit kept; -0 / 4 / 2 is 0."""
+    import duckdb
+
+    assert catalog_sql.E
+    con = duckdb.connect()
+    con.execute(
+        f"""COPY (SELECT k AS o_orderkey, k % 3 AS o_custkey, (57568 + k + (k * 7919 % 10000) / 10000 + 5e-5) * (1 + (k - 1) % 4 % 2) AS o_totalprice, 'O' AS o_orderstatus, TIMESTAMP '1995-01-01' AS o_orderdate, '1' AS o_orderpriority
+  FROM range(4000) t(k)) TO '{tmp_path}/orders.parquet' (FORMAT parquet)"""
+    )
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    want = con.execute(catalog.SQL["sql_arithmetic"]).fetchall()
+    assert sorted(repr(tuple(r)) for r in catalog.QUERIES["sql_arithmetic"](spark, str(tmp_path)).collect()) == sorted(map(repr, want))

@@ -193,13 +193,16 @@ def check(spark: SparkSession, sql: str, live: set[str]) -> Checked:
 
 def checked_frame(spark: SparkSession, query: compat.Query, live: set[str]) -> DataFrame:
     """The rows of a rewritten statement, with the first of its choices that Spark can resolve. The checked plan is what runs."""
-    jvm = spark._jvm.org.apache.spark.sql.classic
     error: Exception | None = None
-    for text in query.texts():
-        checked = check(spark, text, live)
-        compat.register_functions(spark, text)
+    for picked in query.picks():
+        text, starts = query.text(picked)
         try:
-            return query.finish(DataFrame(jvm.Dataset.ofRows(spark._jsparkSession, checked.plan), spark))
+            df = _resolved(spark, text, live)
+            if kinds := _rounded_kinds(df, text, starts):
+                names = df.columns
+                df = _resolved(spark, query.text([kinds.get(i, p) for i, p in enumerate(picked)])[0], live)
+                df = df if df.columns == names else df.toDF(*names)
+            return query.finish(df)
         except AnalysisException as e:
             if error is None or "DATATYPE_MISMATCH" not in str(e):
                 error = e
@@ -208,6 +211,40 @@ def checked_frame(spark: SparkSession, query: compat.Query, live: set[str]) -> D
     raise error
 
 
+def _resolved(spark: SparkSession, text: str, live: set[str]) -> DataFrame:
+    checked = check(spark, text, live)
+    compat.register_functions(spark, text)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, checked.plan), spark)
+
+
+def _rounded_kinds(df: DataFrame, text: str, starts: dict[int, int]) -> dict[int, int]:
+    """By place, the choice for a rounding of a double (1) or a float (2); of other types Spark's own stays."""
+    kinds: dict[int, int] = {}
+
+    def expression(e) -> None:
+        if _is(e, "Round"):
+            o = e.origin()
+            if o.startIndex().isDefined() and o.sqlText().isDefined() and o.sqlText().get() == text and o.startIndex().get() in starts:
+                kind = {"double": 1, "float": 2}.get(e.child().dataType().simpleString())
+                kinds.update({starts[o.startIndex().get()]: kind} if kind else {})
+        if _class(e) in SUBQUERIES:
+            plan(e.plan())
+        for child in _scala(e.children()):
+            expression(child)
+
+    def plan(node) -> None:
+        if _is(node, "View"):  # a result, with roundings of its own
+            return
+        for e in _scala(node.expressions()):
+            expression(e)
+        for child in _scala(node.children()):
+            plan(child)
+
+    if starts:
+        plan(df._jdf.queryExecution().analyzed())
+    return kinds
+
+
 def first_line(message: str) -> str:
     """An error's first line without paths and Java names."""
     line = next((x for x in message.splitlines() if x.strip()), "")
