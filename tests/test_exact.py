@@ -130,3 +130,10 @@ def test_sql_arithmetic_of_any_prices(spark, tmp_path):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
     want = con.execute(catalog.SQL["sql_arithmetic"]).fetchall()
     assert sorted(repr(tuple(r)) for r in catalog.QUERIES["sql_arithmetic"](spark, str(tmp_path)).collect()) == sorted(map(repr, want))
+
+
+def test_many_roundings_are_one_statement(spark):
+    """The limit of characters is that of the statement as it was sent."""
+    sql = "SELECT " + ", ".join(f"round(d / {i}, 2) AS c{i}" for i in range(1, 121)) + " FROM a"
+    got = guard.run(spark, sql, {"a": spark.sql("SELECT 1.005D AS d")}).first()
+    assert len(got) == 120 and (got.c1, got.c2) == (1.0, 0.5)

@@ -21,6 +21,7 @@ from vantidal.errors import Refusal
 from vantidal.plans import compat
 
 MOST_CHARS = 20_000
+MOST_REWRITTEN = 20 * MOST_CHARS
 MOST_RESULTS = 8
 
 #: Plan classes that a query may consist of.
@@ -165,12 +166,12 @@ def _active(spark: SparkSession) -> Iterator[None]:
             jvm.clearActiveSession()
 
 
-def check(spark: SparkSession, sql: str, live: set[str]) -> Checked:
+def check(spark: SparkSession, sql: str, live: set[str], most: int = MOST_CHARS) -> Checked:
     """Refuse what isn't one SELECT over live results; returns the statement and the results that it reads."""
     if not sql or not sql.strip() or "\0" in sql:
         raise Refusal("sql_empty", "There is no statement.")
-    if len(sql) > MOST_CHARS:
-        raise Refusal("sql_too_long", f"A statement has {MOST_CHARS} characters at most.")
+    if len(sql) > most:
+        raise Refusal("sql_too_long", f"A statement has {MOST_CHARS} characters at most{', and it grew too long when it was rewritten' if most > MOST_CHARS else ''}.")
     text = sql.strip()
     if len([p for p in compat.split(text, ";") if p.strip()]) > 1:
         raise Refusal("sql_multiple", "There are several statements.", "Send one.")
@@ -212,7 +213,7 @@ def checked_frame(spark: SparkSession, query: compat.Query, live: set[str]) -> D
 
 
 def _resolved(spark: SparkSession, text: str, live: set[str]) -> DataFrame:
-    checked = check(spark, text, live)
+    checked = check(spark, text, live, MOST_REWRITTEN)
     compat.register_functions(spark, text)
     return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, checked.plan), spark)
 
@@ -222,15 +223,17 @@ def _rounded_kinds(df: DataFrame, text: str, starts: dict[int, int]) -> dict[int
     kinds: dict[int, int] = {}
 
     def expression(e) -> None:
-        if _is(e, "Round"):
+        own = _class(e)
+        if own == "Round":
             o = e.origin()
             if o.startIndex().isDefined() and o.sqlText().isDefined() and o.sqlText().get() == text and o.startIndex().get() in starts:
                 kind = {"double": 1, "float": 2}.get(e.child().dataType().simpleString())
                 kinds.update({starts[o.startIndex().get()]: kind} if kind else {})
-        if _class(e) in SUBQUERIES:
+        if own in SUBQUERIES:
             plan(e.plan())
-        for child in _scala(e.children()):
-            expression(child)
+        if own != "AttributeReference":
+            for child in _scala(e.children()):
+                expression(child)
 
     def plan(node) -> None:
         if _is(node, "View"):  # a result, with roundings of its own
